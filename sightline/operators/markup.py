@@ -40,8 +40,8 @@ class _Walk(HTMLParser):
                 if rel == "canonical" or (rel == "alternate" and "hreflang" in a):
                     self.rows.append(("link", rel, a.get("href"), {"hreflang": a["hreflang"]} if "hreflang" in a else {}))
         elif tag in HEADINGS or tag in TEXTUAL or tag in ("title", "a"):
-            if tag == "p":
-                self._close("p")  # a paragraph ends where the next begins
+            if tag in HEADINGS or tag in TEXTUAL:
+                self._close("p")  # a paragraph ends where another block begins
             self.open.append((tag, [], a))
 
     def handle_endtag(self, tag: str) -> None:
@@ -53,7 +53,7 @@ class _Walk(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skip:
             for _, parts, _ in self.open:
-                parts.append(data)
+                parts += (data, " ")  # runs of text between tags stand apart
 
     def _close(self, tag: str) -> None:
         if not any(t == tag for t, _, _ in self.open):
