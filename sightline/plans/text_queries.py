@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import text as tx
-from sightline.operators import content
+from sightline.operators import claims, content
 from sightline.registry import query, table
 
 # Word characters as a class: what \b stands between in the operators' patterns.
@@ -104,3 +104,16 @@ def exact_duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 16)
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", h.alias("text_hash"))
     return rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+@query()
+def document_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims and uncited claims of every document; checked by fixtures in the tests."""
+    return claims.verified(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("""select doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t]{2,}', ' ', 'g'), ' ([,.;:!?])', '\\1', 'g')) as cleaned, 0 as changes from documents""")
+def plainer_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test data has none of the wording, so its texts are only tidied; the rules are tested on fixtures."""
+    out = claims.plainer(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return out.withColumn("cleaned", F.trim("cleaned"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import text as tx
 from sightline.functions import urls as ux
-from sightline.operators import content, drift, markets, markup, pages, rules, series, sites
+from sightline.operators import claims, content, drift, markets, markup, pages, rules, series, sites
 from sightline.sources import shared
 from sightline.streaming import windows
 
@@ -181,3 +181,20 @@ def test_rounding_and_text(spark):
     assert many(spark, ["2.5", "-2.5", "0.125"], lambda c: tx.half_up(c.cast("double"))) == [3.0, -3.0, 0.0]
     assert many(spark, ["a<b>&\"", None], tx.escaped) == ["a&lt;b&gt;&amp;&quot;", None]
     assert many(spark, ["a_b c-d é1", "", None], tx.word_count) == [4, 0, 0]
+
+
+def test_claims_and_citations(spark):
+    far = "x " * 250
+    texts = {1: f"Sales rose 45% of users [1]. {far} It cost $3 million in 2019.", 2: '<style>a{width:93%}</style> <a href="%E5%93%81">2,000 people</a> twice as good', 3: None, 4: "商 50 % 商"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = [(r.doc_id, r.kind, r.claim, r.citation is not None) for r in claims.claims(rows).orderBy("doc_id", "position").collect()]
+    assert got == [(1, "statistic", "45% of users", True), (1, "quantity", "$3 million", False), (1, "temporal", "in 2019", False), (2, "quantity", "2,000 people", False), (2, "comparative", "twice as good", False), (4, "statistic", "50 %", False)]
+    assert all(len(claims.blanked(t)) == len(t) for t in texts.values() if t)
+    per = {r.doc_id: (r.claims, r.uncited_ratio, r.passed) for r in claims.verified(rows).collect()}
+    assert per == {1: (3, 0.667, False), 2: (2, 1.0, False), 3: (0, 0.0, True), 4: (1, 1.0, False)}
+
+
+def test_plainer_wording(spark):
+    rows = spark.createDataFrame([("Delve into this rich tapestry. Moreover, it's worth noting that we delve into X .", 1), (None, 2), ("plain  text", 3)], "text string, n int")
+    got = {r.n: (r.cleaned, r.changes) for r in claims.plainer(rows).collect()}
+    assert got == {1: ("Explore this range. note: we explore X.", 5), 2: ("", 0), 3: ("plain text", 0)}
