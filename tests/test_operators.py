@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from sightline.functions import text as tx
 from sightline.functions import urls as ux
-from sightline.operators import claims, content, drift, markets, markup, pages, rules, series, sites
-from sightline.sources import shared
+from sightline.operators import claims, content, drift, markets, markup, pages, rules, scores, series, sites
+from sightline.sources import shared, vendors
 from sightline.streaming import windows
 
 
@@ -198,3 +198,50 @@ def test_plainer_wording(spark):
     rows = spark.createDataFrame([("Delve into this rich tapestry. Moreover, it's worth noting that we delve into X .", 1), (None, 2), ("plain  text", 3)], "text string, n int")
     got = {r.n: (r.cleaned, r.changes) for r in claims.plainer(rows).collect()}
     assert got == {1: ("Explore this range. note: we explore X.", 5), 2: ("", 0), 3: ("plain text", 0)}
+
+
+def test_scores(spark):
+    f = [("a", k, 80.0, 1.0) for k in ("domains", "anchors", "toxic")] + [("a", "follow", 20.0, 0.5), ("b", "domains", 90.0, 1.0)]
+    got = {r.site: (r.factors, r.score, r.state) for r in scores.link_health(spark.createDataFrame(f, "site string, factor string, score double, confidence double")).collect()}
+    assert got == {"a": (4, 77.4, "scored"), "b": (1, None, "insufficient data")}
+    page = [("red boots", "Red Boots", "Our RED BOOTS", "https://a/red-boots", None, "About red boots.", ["red boots"]), ("x", None, None, None, None, None, None)]
+    assert [r.placed for r in scores.placement(spark.createDataFrame(page, "keyword string, title string, h1 string, url string, description string, body string, alts array<string>")).collect()] == [5, 0]
+    day = dt.date
+    rows = [("p", "en", 3, 1, 100, True, True, day(2024, 3, 1)), ("p", "de", 4, 1, 130, True, False, day(2024, 2, 10))]
+    pages_ = spark.createDataFrame(rows, "page string, lang string, sections int, images int, words int, titled boolean, described boolean, updated date")
+    got = {r.lang: (r.exists, r.score, r.freshness, r.length_ok) for r in scores.parity(pages_, spark.createDataFrame([("en",), ("de",), ("fr",)], "lang string")).collect()}
+    assert got == {"de": (True, 80, "aging", True), "fr": (False, 0, None, None)}
+    r = scores.personas(spark.createDataFrame([("p", "a", 3, 20, 20, 20, 20), ("p", "b", 1, 10, 10, 10, 10)], "page string, persona string, volume int, relevance int, clarity int, trust int, action int")).first()
+    assert (r.score, r.weakest, r.weakest_score) == (70.0, "b", 40)
+    assert scores.crawler_score(spark.createDataFrame([("a", 5, 5, False, True, True)], "site string, tier1 int, tier2 int, blanket_block boolean, llms_file boolean, sitemap_file boolean")).first().score == 100
+
+
+def test_reviews_wins_and_sitemaps(spark):
+    t = dt.datetime(2024, 1, 1, 10)
+    rows = [("p", i, t, 5, 1, "Great place") for i in range(3)] + [("p", 9, dt.datetime(2024, 2, 1), 3, 50, "ok")]
+    got = {r.review_id: (r.signals, r.suspicious) for r in scores.review_flags(spark.createDataFrame(rows, "place string, review_id int, ts timestamp, rating int, author_reviews int, text string")).collect()}
+    assert got == {0: (3, True), 1: (3, True), 2: (3, True), 9: (0, False)}
+    wins = spark.createDataFrame([("a", 1.0, 100.0, 5.0), ("b", 1.0, 10.0, 5.0), ("c", 1.0, 200.0, 1.0), ("d", 0.0, 1.0, 20.0)], "query string, clicks double, impressions double, position double")
+    assert [r.query for r in scores.quick_wins(wins).collect()] == ["a"]
+    entries = spark.createDataFrame([("s", "http://a", "d"), ("s", "https://b", "d")], "sitemap string, loc string, lastmod string")
+    facts = spark.createDataFrame([("http://a", 404, False, False), ("https://b", 200, True, False)], "loc string, status int, noindex boolean, redirected boolean")
+    assert {r.issue for r in scores.sitemap_quality(entries, facts).collect()} == {"not 200", "noindexed", "not https", "identical lastmod"}
+
+
+def test_vendor_payloads(spark):
+    one_row = lambda c, text: spark.createDataFrame([("k", text), ("bad", "{")], f"{c} string, payload string")
+    lab = '{"lighthouseResult":{"categories":{"performance":{"score":0.905},"best-practices":{"score":1}},"audits":{"speed-index":{"numericValue":12.5},"a":{"title":"A","details":{"type":"opportunity","overallSavingsMs":10}},"b":{"title":"B","details":{"type":"opportunity","overallSavingsMs":20}},"c":{"details":{"type":"table"}}}}}'
+    r = {x.url: x for x in vendors.lab_audit(one_row("url", lab)).collect()}
+    assert (r["k"].performance, r["k"].best_practices, r["k"].speed_index_ms, [o.id for o in r["k"].opportunities]) == (91.0, 100.0, 12.5, ["b", "a"])
+    assert r["bad"].performance is None
+    field = '{"record":{"metrics":{"lcp":{"percentiles":{"p75":2100},"percentilesTimeseries":{"p75s":[1,null,"0.5"]}}}}}'
+    assert [(x.metric, x.p75) for x in vendors.field_metrics(one_row("url", field)).collect()] == [("lcp", 2100.0)]
+    assert [x.p75 for x in vendors.field_history(one_row("url", field)).orderBy("period").collect()] == [1.0, None, 0.5]
+    search = '{"rows":[{"keys":["q","p"],"clicks":1,"impressions":2,"ctr":0.5,"position":3}]}'
+    assert [(x["query"], x.page, x.clicks) for x in vendors.search_rows(one_row("property", search), ["query", "page"]).collect()] == [("q", "p", 1.0)]
+    report = '{"rows":[{"dimensionValues":[{"value":"d"}],"metricValues":[{"value":"7"}]}]}'
+    assert [(x.day, x.users) for x in vendors.report_rows(one_row("property", report), ["day"], ["users"]).collect()] == [("d", 7.0)]
+    nlp = '{"entities":[{"name":"a","type":"T","salience":0.1,"mentions":[{}]},{"name":"b","type":"T","salience":0.9,"mentions":[{},{}]}]}'
+    assert [(x["name"], x.mentions) for x in vendors.entities(one_row("id", nlp)).orderBy("rank").collect()] == [("b", 2), ("a", 1)]
+    who = spark.createDataFrame([("a", "Domain: a\nCreation Date: 2001-02-03T00:00:00Z\nRegistrar: R Inc\n"), ("b", "created: 03-Feb-2001\n"), ("c", None)], "domain string, text string")
+    assert {x.domain: (str(x.created), x.registrar) for x in vendors.whois(who).collect()} == {"a": ("2001-02-03", "R Inc"), "b": ("2001-02-03", None), "c": ("None", None)}
