@@ -3,83 +3,109 @@
 A word's probability in a class is its discounted count there plus what the discounts leave, spread by the continuation
 counts (before how many different words it stands) of both classes together. So an expression that is rare in both has
 much the same probability in both. Counts are of documents, not of places: a document that says one word a thousand
-times is one witness. What decides is the difference of the two log-likelihoods divided by the length.
+times is one witness. A word that is too rare to be known backs off to its first letters, which have a model of the same
+kind: many expressions are inflected. What decides is the difference of the log-likelihoods divided by the length.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm import kneser_ney as kn
 from sightline.llm import wordhash
-from sightline.llm.common import crc_mod, fresh, stored, words, words_text
+from sightline.llm.common import crc_mod, fresh, small, stored, words, words_text
 
 #: Labelled documents (those with the lowest hash of their id) whose scores fit the two numbers of the calibration.
 CALIBRATION_ROWS = 20_000
 #: A word of fewer training documents than this is an unseen one.
 LEAST_DOCUMENTS = 2
+#: What a word backs off to: its first letters, the longest first, if it has more.
+STEMS = (6, 4)
+#: Log ratios are drawn this far towards zero: less may be chance where a word stands in few documents.
+CHANCE = 1.5
 #: Words of average ratio that are added to each text, so that a few words prove little.
 PRIOR_WORDS = 100
 #: Words of the model that are sent to a task at once.
 SHARD_WORDS = 4_000_000
 
 
-def word_ratios(marked: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, float]:
-    """marked(text, cls) -> (w, v): log p(w | toxic) - log p(w | ordinary); and that of an unseen word."""
+def _stems(w: Column, n: int) -> Column:
+    """The first n letters of each longer word of the array w; all words for n = 0."""
+    return F.transform(F.filter(w, lambda x: F.length(x) > n), lambda x: F.substring(x, 1, n)) if n else w
+
+
+def word_ratios(marked: DataFrame, stem: int = 0, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """marked(text, cls) -> (w, v) of words or stems: log p(w | toxic) - log p(w | ordinary), less what may be chance."""
     lists = marked.select(words(F.col("text")).alias("w"), "cls")
     number = [F.count_if(F.col("cls") == c).alias(f"n{c}") for c in (0, 1)]
-    counts = stored(lists.select(F.explode(F.array_distinct("w")).alias("w"), "cls").groupBy("w").agg(*number), "tox-counts")
+    counts = stored(lists.select(F.explode(F.array_distinct(_stems(F.col("w"), stem))).alias("w"), "cls").groupBy("w").agg(*number), "tox-counts")
     d = [kn.discounts(counts.where(f"n{c} > 0"), f"n{c}") for c in (0, 1)]
     off = [kn.discount(F.col(f"n{c}"), d[c]) for c in (0, 1)]
     sums = counts.agg(*[F.sum(f"n{c}") for c in (0, 1)], *[F.sum(o) for o in off]).first()
     total = [float(sums[c] or 1) for c in (0, 1)]
     left = [float(sums[2 + c] or 0) / total[c] or 1.0 for c in (0, 1)]
     # the words before each word, told apart by their hash, which is shorter than most
-    pairs = lists.select(F.explode(F.arrays_zip(F.col("w"), F.concat(F.array(F.lit(0).cast("long")), F.transform("w", lambda x: F.xxhash64(x)))).alias("p")))
-    pairs = pairs.toDF("p").where("p.w is not null").select(F.col("p.w").alias("w"), F.col("p.1").alias("before")).distinct()
-    follows = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    follows = stored(follows, "tox-follows")
+    before = F.concat(F.array(F.lit(0).cast("long")), F.transform("w", lambda x: F.xxhash64(x)))
+    pairs = lists.select(F.explode(F.zip_with("w", F.slice(before, F.lit(1), F.size("w")), lambda w, b: F.struct(w.alias("w"), b.alias("before")))).alias("p")).select("p.*")
+    if stem:
+        pairs = pairs.where(F.length("w") > stem).select(F.substring("w", 1, stem).alias("w"), "before")
+    follows = stored(pairs.distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n")), "tox-follows")
     fd = kn.discounts(follows)
     fsum, kinds, foff = (float(x or 0) for x in follows.agg(F.sum("n"), F.count(F.lit(1)), F.sum(kn.discount(F.col("n"), fd))).first())
     shared = (F.col("n") - kn.discount(F.col("n"), fd) + foff / (kinds + 1)) / max(fsum, 1.0)
     p = [(F.col(f"n{c}") - off[c]) / total[c] + left[c] * F.col("q") for c in (0, 1)]
     known = counts.where(F.col("n0") + F.col("n1") >= least).join(follows.select("w", shared.alias("q")), "w")
-    return known.select("w", F.log(p[1] / p[0]).alias("v")), float(np.log(left[1] / left[0]))
+    ratio = F.log(p[1] / p[0])
+    return known.select("w", (F.sign(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - CHANCE)).alias("v"))
+
+
+def ratios_of(marked: DataFrame) -> DataFrame:
+    """The ratios (stem, w, v) of words (stem 0) and of stems. What is not known speaks for neither class."""
+    parts = [word_ratios(marked, stem).select(F.lit(stem).alias("stem"), "w", "v") for stem in (0, *STEMS)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _salted(k: np.ndarray, stem: int) -> np.ndarray:
+    return wordhash.mix(k ^ np.uint64(stem)) if stem else k
 
 
 def keyed(ratios: DataFrame) -> DataFrame:
-    """(w, v) -> (k, v): the words by the hash that tasks look them up with."""
+    """(stem, w, v) -> (k, v, p): words and stems by the hash that tasks look them up with, and the hash of what all
+    that one word may need begins with."""
 
     def hashed(batches):
         for pdf in batches:
-            for first, w in wordhash.chunks(list(pdf["w"])):
-                at, k = w.hashes()
-                yield pd.DataFrame({"k": k.view(np.int64), "v": pdf["v"].to_numpy(np.float64)[first + w.text[at]]})
+            for stem, part in pdf.groupby("stem"):
+                for first, w in wordhash.chunks(list(part["w"])):
+                    at, k = w.hashes()
+                    _, p = w.prefixes(STEMS[-1])
+                    yield pd.DataFrame({"k": _salted(k, int(stem)).view(np.int64), "v": part["v"].to_numpy(np.float64)[first + w.text[at]], "p": p.view(np.int64)})
 
-    return ratios.mapInPandas(hashed, "k long, v double")
+    return ratios.mapInPandas(hashed, "k long, v double, p long")
 
 
-def ratio_sums(docs: DataFrame, ratios: DataFrame, unseen: float, norm: str, total: str, count: str, shard_words: int = SHARD_WORDS) -> DataFrame:
+def ratio_sums(docs: DataFrame, ratios: DataFrame, norm: str, total: str, count: str, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs with the sum of the ratios of the words of column norm, and their number; one pass for each shard."""
     table = stored(keyed(ratios), "tox-model")
     shards = max(1, -(-table.count() // shard_words))
     out = docs.withColumns({total: F.lit(0.0), count: F.lit(0).cast("long")})
     for shard in range(shards):
-        part = table.where(F.pmod("k", F.lit(shards)) == shard).toPandas()
+        part = table.where(F.pmod("p", F.lit(shards)) == shard).select("k", "v").toPandas()
         sent = docs.sparkSession.sparkContext.broadcast((part["k"].to_numpy(np.int64).view(np.uint64), part["v"].to_numpy(np.float32)))
-        out = _pass(out, sent, shard, shards, unseen, norm, total, count)
+        out = _pass(out, sent, shard, shards, norm, total, count)
         if shards > 1:
             out = stored(out, f"tox-sum{shard}")
     return out
 
 
-def _pass(docs: DataFrame, sent, shard: int, shards: int, unseen: float, norm: str, total: str, count: str) -> DataFrame:
+def _pass(docs: DataFrame, sent, shard: int, shards: int, norm: str, total: str, count: str) -> DataFrame:
     names, mark = docs.columns, uuid.uuid4().hex
 
     def add(batches):
@@ -90,11 +116,20 @@ def _pass(docs: DataFrame, sent, shard: int, shards: int, unseen: float, norm: s
         for pdf in batches:
             sums, n = np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
             for first, w in wordhash.chunks(list(pdf[norm])):
-                at, k = w.hashes()
-                own = slice(None) if shards == 1 else np.flatnonzero(np.mod(k.view(np.int64), shards) == shard)
-                known, v = table.get(k[own])
-                text = first + w.text[at][own]
-                sums += np.bincount(text, np.where(known, v, unseen), len(pdf))
+                _, k = w.hashes()
+                own = np.arange(len(k))
+                if shards > 1:
+                    own = np.flatnonzero(np.mod(w.prefixes(STEMS[-1])[1].view(np.int64), shards) == shard)
+                known, value = table.get(k[own])
+                left = np.flatnonzero(~known)
+                for stem in STEMS:
+                    longer, h = w.prefixes(stem)
+                    at = left[longer[own[left]]]
+                    hit, v = table.get(_salted(h[own[at]], stem))
+                    value[at[hit]] = v[hit]
+                    left = np.setdiff1d(left, at[hit], assume_unique=True)
+                text = first + w.text[own]
+                sums += np.bincount(text, value, len(pdf))
                 n += np.bincount(text, minlength=len(pdf))
             pdf = pdf.copy()
             pdf.columns = names
@@ -132,15 +167,15 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", shard_words:
     fold = crc_mod(F.col("doc_id"), 5)
     marks = stored(labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("cls")), "tox-labels")
     texts = docs.select("doc_id", F.col(text).alias("text"))
-    ratios, unseen = word_ratios(texts.join(marks.where(fold.isin(1, 2, 3)), "doc_id"))
+    ratios = ratios_of(texts.join(small(marks.where(fold.isin(1, 2, 3))), "doc_id"))
     ratios = stored(ratios, "tox-ratios")
     rest = marks.where(fold == 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    sample = texts.join(stored(rest, "tox-rest"), "doc_id").select(words_text(F.col("text")).alias("norm"), "cls").limit(2 * CALIBRATION_ROWS)
-    pairs = ratio_sums(sample, ratios, unseen, "norm", "s", "n", shard_words).select("s", "n", "cls").toPandas()
+    sample = texts.join(small(stored(rest, "tox-rest")), "doc_id").select(words_text(F.col("text")).alias("norm"), "cls").limit(2 * CALIBRATION_ROWS)
+    pairs = ratio_sums(sample, ratios, "norm", "s", "n", shard_words).select("s", "n", "cls").toPandas()
     mean = float(pairs["s"].sum() / max(pairs["n"].sum(), 1))
     mid, slope, offset = fitted(((pairs["s"] - mean * pairs["n"]) / (pairs["n"] + PRIOR_WORDS)).to_numpy(float), pairs["cls"].to_numpy(float))
     norm, total, count, ratio, held, score, predicted = fresh(docs, "tox_words", "tox_sum", "tox_count", "tox_ratio", "held_out", "score", "predicted")
-    out = ratio_sums(docs.withColumn(norm, words_text(F.col(text))), ratios, unseen, norm, total, count, shard_words)
+    out = ratio_sums(docs.withColumn(norm, words_text(F.col(text))), ratios, norm, total, count, shard_words)
     out = out.withColumn(ratio, (F.col(total) - mean * F.col(count)) / (F.col(count) + PRIOR_WORDS)).drop(norm, total, count)
     out = out.withColumn(score, 1 / (1 + F.exp(-(slope * (F.col(ratio) - mid) + offset))))
     return out.withColumns({held: fold == 0, predicted: (F.col(score) >= 0.5).cast("int")})

@@ -60,6 +60,13 @@ class Words:
         s, e = self.start[at], self.end[at + n - 1]
         return at, mix((self.sums[e] - self.sums[s]) * self.down[s] + (e - s).astype(np.uint64))
 
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word has more than n characters, and the hash of its first n (of all that it has)."""
+        begins = np.flatnonzero((self.data & 0xC0) != 0x80)
+        stop = begins[np.minimum(np.searchsorted(begins, self.start) + n, len(begins) - 1)] if len(self.start) else self.start
+        end = np.minimum(stop, self.end)
+        return stop < self.end, mix((self.sums[end] - self.sums[self.start]) * self.down[self.start] + (end - self.start).astype(np.uint64))
+
     def word(self, i: int) -> str:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "surrogatepass")
 
