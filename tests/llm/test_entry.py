@@ -1,0 +1,20 @@
+"""The queries with SQL, against that SQL."""
+
+import duckdb
+import pytest
+
+from sightline.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name]).df()
+    got = queries.QUERIES[name](spark, folder).toPandas()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    rows = lambda df: sorted(map(tuple, df[cols].astype(str).values))
+    assert rows(got) == rows(want)
