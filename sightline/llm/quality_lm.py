@@ -17,8 +17,9 @@ HOLDOUT = 5
 
 
 def fit(docs: DataFrame, trusted: DataFrame, order: int = kn.ORDER, shard_rows: int = kn.SHARD_ROWS) -> kn.Model:
-    """The model of the texts of docs(doc_id, text) whose id is in trusted(doc_id), all of them."""
-    texts = docs.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").select("text", F.lit(0).alias("cls"))
+    """The model of the texts of docs(doc_id, text) whose id is in trusted(doc_id), all of them. Texts move only if there
+    are more ids than may be broadcast."""
+    texts = docs.join(small(trusted.select("doc_id").distinct()), "doc_id", "left_semi").select("text", F.lit(0).alias("cls"))
     top = stored(kn.gram_counts(texts, order).select("g", "n"), "kn-top")
     grams, contexts, unseen = kn.interpolated(kn.lower_orders(top, order), order)
     log = lambda c: F.log(F.col(c)).alias("v")
@@ -51,7 +52,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order
     held = crc_mod(F.col("doc_id"), HOLDOUT) == 0
     ids = docs.select("doc_id", "text")
     model = fit(ids, good.where(~held), order, shard_rows)
-    sample = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(good.where(held), "doc_id", "left_semi")
+    sample = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(small(good.where(held)), "doc_id", "left_semi")
     limits = stored(thresholds(perplexities(sample, model).select("lang", "perplexity"), quantile, least), "limits")
     ppl, limit, lang, all_limit = fresh(docs, "perplexity", "kn_limit", "kn_lang", "kn_all")
     every = limits.where("lang is null").select(F.col("threshold").alias(all_limit))
