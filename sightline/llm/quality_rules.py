@@ -114,7 +114,8 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: floa
     plain = docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
     good = stored(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "good")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    known = measured(plain.join(good, "doc_id", "left_semi")).where(~failed).select("stratum", *[v.alias(k) for k, v in shares().items()])
+    # measures are joined with the labels, not texts: they are a hundredth of the size
+    known = measured(plain).where(~failed).select("doc_id", "stratum", *[v.alias(k) for k, v in shares().items()]).join(good, "doc_id")
     limits = stored(cutoffs(known, risk, error).groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in GRID]), "cutoffs")
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     extra = ["n_lines", "n_upper"]
