@@ -75,6 +75,12 @@ def test_repeats_are_cut_and_the_first_stays(spark):
     assert compact_windows.repeated(docs.limit(0)).count() == 0
 
 
+def test_copies_of_a_long_text_are_one_passage(spark):
+    text = " ".join(f"w{i}" for i in range(70_000))
+    got = compact_windows.repeated(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.other_id, r.other_start) for r in got} == {(2, 0, 70_000, 1, 0)}
+
+
 def weighted(a, b):
     both = sum((a & b).values())
     return both / max(1, sum(a.values()) + sum(b.values()) - both)
