@@ -75,6 +75,15 @@ def test_repeats_are_cut_and_the_first_stays(spark):
     assert compact_windows.repeated(docs.limit(0)).count() == 0
 
 
+def test_an_excerpt_in_a_smaller_document_hides_no_passage(spark):
+    rows = []
+    for k in range(20):
+        p, own = [f"p{k}x{i}" for i in range(60)], lambda d: [f"o{k}d{d}x{i}" for i in range(40)]  # noqa: B023
+        rows += [(3 * k, " ".join(own(0) + p[6:54] + own(3))), (3 * k + 1, " ".join(own(1) + p)), (3 * k + 2, " ".join(p + own(2)))]
+    got = {(r.doc_id, r.start_word, r.end_word, r.other_id) for r in compact_windows.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3 * k + 2, 0, 60, 3 * k + 1) for k in range(20)}
+
+
 def test_copies_of_a_long_text_are_one_passage(spark):
     text = " ".join(f"w{i}" for i in range(70_000))
     got = compact_windows.repeated(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
