@@ -84,6 +84,39 @@ def test_an_excerpt_in_a_smaller_document_hides_no_passage(spark):
     assert got == {(3 * k + 2, 0, 60, 3 * k + 1) for k in range(20)}
 
 
+def test_passages_go_on_after_inserted_words(spark):
+    w = [f"w{i}" for i in range(90)]
+    rows = []
+    for k in range(6):
+        own = [f"{x}v{k}" for x in w]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[:45], *["new"] * (k % 3), *own[45 + k // 3 :]]))]
+    got = {(r.doc_id, r.start_word, r.end_word, r.other_start) for r in compact_windows.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2 * k + 1, 0, 90 + k % 3 - k // 3, 0) for k in range(6)}
+
+
+def test_stretches_are_the_longest_by_brute_force():
+    import random
+
+    draw = random.Random(5)
+    for _ in range(200):
+        runs, i, j = [], 0, 0
+        for _ in range(draw.randint(1, 7)):
+            i, j, k = i + draw.randint(0, 4), j + draw.randint(0, 4), draw.randint(5, 60)
+            runs.append((i, j, k))
+            i, j = i + k, j + k
+        fit = []
+        for p in range(len(runs)):
+            for q in range(p, len(runs)):
+                s, e = runs[p][0], runs[q][0] + runs[q][2]
+                o, f = runs[p][1], runs[q][1] + runs[q][2]
+                both = sum(k - 4 for _, _, k in runs[p : q + 1])
+                if both >= 0.8 * (e - s - 4 + f - o - 4 - both) - 1e-9:
+                    fit.append((p, q))
+        fit = [(p, q) for p, q in fit if not any((x, y) != (p, q) and x <= p and q <= y for x, y in fit)]
+        want = [(runs[p][0], runs[q][0] + runs[q][2]) for p, q in fit]
+        assert [(s, e) for s, e, _, _ in compact_windows.stretches(runs, 5, 1, 0.8)] == want
+
+
 def test_copies_of_a_long_text_are_one_passage(spark):
     text = " ".join(f"w{i}" for i in range(70_000))
     got = compact_windows.repeated(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
