@@ -17,8 +17,6 @@ from sightline.llm.common import fresh, let
 #: Fixed by contract: what separates words, and the base phrases with their labels.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: A text without any of these substrings has no match.
-GATE = ("licen", "copyright", "creative commons", "cc by", "cc0", "gpl", "public domain", "spdx", "permission", "rights reserved", "redistribution", "warrant")
 
 
 @dataclass(frozen=True)
@@ -93,6 +91,12 @@ def rules() -> list[Rule]:
     return out
 
 
+def gate() -> list[str]:
+    """A text without any of these substrings has no match: the rules' keywords without those that hold another."""
+    words = sorted({r.keyword for r in rules()})
+    return [w for w in words if not any(x != w and x in w for x in words)]
+
+
 def word_text(text: Column) -> Column:
     """Words of the contract joined by one space, with one before and one after; null is empty."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -137,16 +141,16 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     base phrases and detections, sorted and joined by commas. score: the greatest trust of a detection, 0.7 at least if
     a base phrase stands in the text, else 0. A null text is an empty one: no words, counts 0, labels ''.
     """
-    norm, gate = fresh(docs, "lic_norm", "lic_gate")
+    norm, passed = fresh(docs, "lic_norm", "lic_gate")
     some = F.lit(False)
-    for g in GATE:
+    for g in gate():
         some = some | F.col(norm).contains(g)
-    made = docs.withColumn(norm, word_text(F.col(text))).withColumn(gate, some)
+    made = docs.withColumn(norm, word_text(F.col(text))).withColumn(passed, some)
     table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.trust).alias("trust")) for r in rules()])
     hits = F.filter(table, lambda r: F.contains(F.col(norm), r["keyword"]))
     found = F.flatten(F.transform(hits, lambda r: _rule_spans(F.col(norm), r)))
     none = F.array().cast(f"array<{_SPAN}>")
-    detections = F.when(F.col(gate), let(found, _resolved)).otherwise(none)
+    detections = F.when(F.col(passed), let(found, _resolved)).otherwise(none)
 
     def base(w: Column) -> Column:
         def at(i: Column) -> Column:

@@ -84,6 +84,44 @@ def test_license_rules_are_hundreds():
         re.compile(r.regex)
 
 
+def sample(regex):
+    """A text that the regex of a rule matches: the first of each choice, no optional part."""
+    import re._parser as parser
+
+    def write(parts):
+        out = ""
+        for op, arg in parts:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(arg)
+            elif kind == "SUBPATTERN":
+                out += write(arg[3])
+            elif kind == "BRANCH":
+                out += write(arg[1][0])
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += write(arg[2]) * arg[0]
+            elif kind == "NOT_LITERAL":
+                out += "x"
+            elif kind == "IN":
+                out += chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else "x"
+            else:
+                assert kind == "ASSERT_NOT", kind
+        return out
+
+    return write(parser.parse(regex))
+
+
+def test_each_license_rule_is_reached(spark):
+    rules = licenses.rules()
+    texts = [sample(r.regex) for r in rules]
+    plain = ["Released under the MIT", "distributed under BSD", "Apache-2.0", "MPL 2.0", "EPL-2.0", "OSL 3.0", "BSD 3-clause", "GFDL 1.3", "https://creativecommons.org/publicdomain/zero/1.0/"]
+    got = {r.doc_id: r for r in licenses.scanned(docs(spark, texts + plain)).collect()}
+    for i, r in enumerate(rules):
+        assert re.fullmatch(r.regex, texts[i]) and r.keyword in texts[i], r
+        assert got[i].labels and got[i].score > 0, r
+    assert [got[len(rules) + i].labels for i in range(len(plain))] == ["mit", "bsd", "apache-2.0", "mpl-2.0", "epl-2.0", "osl-3.0", "bsd-3-clause", "gfdl-1.3", "cc0-1.0"]
+
+
 def brute_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
