@@ -28,7 +28,8 @@ def test_bpe_equals_tiktoken(spark, sf):
 
     ranks = bpe.read_ranks(public_tokenizers.path(queries.VOCABULARY))
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    some = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()] + ODD
+    long = ["ab" * 30_000, "x" * 200 + " " + "é" * 70, "one two " * 5000]
+    some = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + ODD + ODD + long
     got = {r.doc_id: r for r in bpe.digests(docs(spark, some), ranks, public_tokenizers.PATTERN).collect()}
     for i, t in enumerate(some):
         ids = enc.encode_ordinary(t or "")
@@ -44,7 +45,18 @@ def test_bpe_keeps_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "abab ab", "x", 3)], "doc_id int, text string, tokens string, n int")
     out = bpe.encoded(rows, ranks, public_tokenizers.PATTERN).first()
     assert out.ids == [257, 32, 256] and out.tokens == "x" and out.n == 3
-    assert bpe.merged(b"ab" * 200, ranks) == [257] * 100
+    assert bpe.merged_here(b"ab" * 200, ranks) == (257,) * 100
+    assert bpe.encoded(rows.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_the_fold_and_the_task_join_alike(spark):
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path(queries.VOCABULARY))
+    words = [" the", "a", "aaaaaaa", " unbelievabl", "naïveté", "中文字符", "١٢٣", "zzzzqx", "\n\n", "'s", " 12345", "", "ababababab"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", bpe.merged(F.col("w"), ranks).alias("ids")).collect()
+    by_rank = lambda w: bpe.merged_here(w.encode(), ranks) if w else ()
+    assert {r.w: tuple(r.ids) for r in rows if r.w.encode() not in ranks} == {w: by_rank(w) for w in words if w.encode() not in ranks}
 
 
 def brute_license(text):
