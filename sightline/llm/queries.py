@@ -56,7 +56,7 @@ def op7_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bagminhash.classes(_documents(spark, sf_dir))
+    return bagminhash.classes(_documents(spark, sf_dir)).drop("k")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
