@@ -25,7 +25,7 @@ ORDER = 5
 #: Stands before the first character of a text.
 START = 2
 #: Characters that are worked on at once, in a task.
-PIECE = 1_000_000
+PIECE = 400_000
 #: Rows of the model in a shard, and so in a broadcast: 16 bytes a row, about 4 times that with the table's gaps.
 SHARD_ROWS = 2_000_000
 
@@ -255,34 +255,37 @@ def one_shard(docs: DataFrame, sent, model: Model, shard: int, text: str, total:
         return _TABLES[mark]
 
     def add(batches):
-        grams, contexts = tables()
-        for pdf in batches:
-            sums, count = np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
-            for codes, at, real in pieces(list(pdf[text]), order):
-                pos = np.flatnonzero(real)
-                if shards > 1:
-                    pos = pos[mine(codes, pos, shard, shards)]
-                value, left = np.zeros(len(pos)), np.arange(len(pos))
-                for n in range(order, 0, -1):
-                    known, v = grams.get(keys(codes, n)[pos[left]])
-                    value[left] += v
-                    left = left[~known]
-                    if not len(left):
-                        break
-                    if n == 1:
-                        value[left] += unseen * backoff
-                    else:
-                        seen, w = contexts.get(keys(codes, n - 1)[pos[left] - 1])
-                        value[left] += w
-                        if not backoff:
+        try:
+            grams, contexts = tables()
+            for pdf in batches:
+                sums, count = np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
+                for codes, at, real in pieces(list(pdf[text]), order):
+                    pos = np.flatnonzero(real)
+                    if shards > 1:
+                        pos = pos[mine(codes, pos, shard, shards)]
+                    value, left = np.zeros(len(pos)), np.arange(len(pos))
+                    for n in range(order, 0, -1):
+                        known, v = grams.get(keys(codes, n)[pos[left]])
+                        value[left] += v
+                        left = left[~known]
+                        if not len(left):
                             break
-                np.add.at(sums, at[pos], value) if len(pos) < 1000 else np.add(sums, np.bincount(at[pos], value, len(pdf)), out=sums)
-                count += np.bincount(at[pos], minlength=len(pdf))
-            pdf = pdf.copy()
-            pdf.columns = names
-            pdf[total] = pdf[total].to_numpy(np.float64) + sums
-            pdf[chars] = pdf[chars].to_numpy(np.int64) + count
-            yield pdf
+                        if n == 1:
+                            value[left] += unseen * backoff
+                        else:
+                            seen, w = contexts.get(keys(codes, n - 1)[pos[left] - 1])
+                            value[left] += w
+                            if not backoff:
+                                break
+                    np.add.at(sums, at[pos], value) if len(pos) < 1000 else np.add(sums, np.bincount(at[pos], value, len(pdf)), out=sums)
+                    count += np.bincount(at[pos], minlength=len(pdf))
+                pdf = pdf.copy()
+                pdf.columns = names
+                pdf[total] = pdf[total].to_numpy(np.float64) + sums
+                pdf[chars] = pdf[chars].to_numpy(np.int64) + count
+                yield pdf
+        finally:
+            _TABLES.clear()  # the worker is used again
 
     return docs.mapInPandas(add, T.StructType(docs.schema.fields))
 

@@ -1,16 +1,17 @@
-"""Toxicity: class-conditional Kneser-Ney word models that share their backoff.
-
-A word's probability in a class is its discounted count there plus what the discounts leave, spread by the continuation
-counts (before how many different words it stands) of both classes together. So an expression that is rare in both has
-much the same probability in both. Counts are of documents, not of places: a document that says one word a thousand
-times is one witness. A word that is too rare to be known backs off to its first letters, which have a model of the same
-kind: many expressions are inflected. What decides is the difference of the log-likelihoods divided by the length.
+"""Toxicity: class-conditional Kneser-Ney bigram models that share their backoff.
+
+In each class, a word's probability after another is its discounted count there plus what the discounts leave, spread
+by what follows that other word in both classes together; a word by itself leaves to the continuation counts (after how
+many different words it stands) of both. So an expression that is rare in both has much the same probability in both. Counts
+are of documents, not of places: a document that says one expression a thousand times is one witness. Of the log ratio
+of the two classes only what exceeds its standard error counts, so the less the more witnesses there are. An expression
+without such evidence backs off: two words to the second, a word to its first letters. What decides is the sum of these
+ratios, which is the difference of the two log-likelihoods, divided by the length.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,124 +21,182 @@ from pyspark.sql import types as T
 
 from sightline.llm import kneser_ney as kn
 from sightline.llm import wordhash
-from sightline.llm.common import crc_mod, fresh, small, stored, words, words_text
+from sightline.llm.common import crc_mod, fresh, small, stored, words_text
 
 #: Labelled documents (those with the lowest hash of their id) whose scores fit the two numbers of the calibration.
 CALIBRATION_ROWS = 20_000
-#: A word of fewer training documents than this is an unseen one.
+#: An expression of fewer training documents than this has no evidence of its own.
 LEAST_DOCUMENTS = 2
 #: What a word backs off to: its first letters, the longest first, if it has more.
 STEMS = (6, 4)
-#: Log ratios are drawn this far towards zero: less may be chance where a word stands in few documents.
-CHANCE = 1.5
+#: Standard errors by which a log ratio is drawn towards zero. Set on folds 1 to 4.
+ERRORS = 3.0
 #: Words of average ratio that are added to each text, so that a few words prove little.
 PRIOR_WORDS = 100
-#: Words of the model that are sent to a task at once.
-SHARD_WORDS = 4_000_000
+#: Rows of the model that are sent to a task at once: 12 bytes each, about 5 times that with the table's gaps.
+SHARD_ROWS = 2_000_000
+#: Kinds of rows besides stems: a word, and two words.
+WORD, PAIR = 0, 2
+_START = np.uint64(0x5DEECE66D)
+
+
+def _events(w: wordhash.Words) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, at, h, w) of what each word (number at) says: itself (h is 0), with the word before (h), its stems (h is the
+    word)."""
+    _, own = w.hashes()
+    before = np.concatenate([[_START], own[:-1]]) if len(own) else own
+    before[w.first[w.count > 0]] = _START
+    every = np.arange(len(own))
+    out = [(WORD, every, np.zeros(len(own), np.uint64), own), (PAIR, every, before, own)]
+    for stem in STEMS:
+        longer, h = w.prefixes(stem)
+        out.append((stem, np.flatnonzero(longer), own[longer], h[longer]))
+    return out
+
 
+def _key(kind: int, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What tasks look expressions up with; h counts for pairs alone."""
+    return wordhash.mix(wordhash.mix(h) + w) if kind == PAIR else wordhash.mix(w + np.uint64(kind)) if kind else w
 
-def _stems(w: Column, n: int) -> Column:
-    """The first n letters of each longer word of the array w; all words for n = 0."""
-    return F.transform(F.filter(w, lambda x: F.length(x) > n), lambda x: F.substring(x, 1, n)) if n else w
 
+def event_counts(marked: DataFrame) -> DataFrame:
+    """marked(norm, cls) -> (kind, h, w, n0, n1): in how many documents of each class each expression stands."""
 
-def word_ratios(marked: DataFrame, stem: int = 0, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """marked(text, cls) -> (w, v) of words or stems: log p(w | toxic) - log p(w | ordinary), less what may be chance."""
-    lists = marked.select(words(F.col("text")).alias("w"), "cls")
-    number = [F.count_if(F.col("cls") == c).alias(f"n{c}") for c in (0, 1)]
-    counts = stored(lists.select(F.explode(F.array_distinct(_stems(F.col("w"), stem))).alias("w"), "cls").groupBy("w").agg(*number), "tox-counts")
-    d = [kn.discounts(counts.where(f"n{c} > 0"), f"n{c}") for c in (0, 1)]
-    off = [kn.discount(F.col(f"n{c}"), d[c]) for c in (0, 1)]
+    def count(batches):
+        for pdf in batches:
+            cls = pdf["cls"].to_numpy(np.int64)
+            for first, words in wordhash.chunks(list(pdf["norm"])):
+                for kind, at, h, w in _events(words):
+                    text = words.text[at]
+                    order = np.lexsort((text, w, h))
+                    text, h, w = text[order], h[order], w[order]
+                    new = np.ones(len(w), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+                    once = new.copy()
+                    once[1:] |= text[1:] != text[:-1]
+                    text, h, w, new = text[once], h[once], w[once], new[once]
+                    at, toxic = np.flatnonzero(new), cls[first + text]
+                    if len(at):
+                        n1, n = np.add.reduceat(toxic, at), np.diff(np.append(at, len(w)))
+                        yield pd.DataFrame({"kind": np.full(len(at), kind, np.int8), "h": h[at].view(np.int64), "w": w[at].view(np.int64), "n0": n - n1, "n1": n1})
+
+    return marked.mapInPandas(count, "kind byte, h long, w long, n0 long, n1 long").groupBy("kind", "h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _shrunk(p0: Column, p1: Column, errors: float) -> Column:
+    """log p1 / p0, less `errors` standard errors."""
+    ratio = F.log(p1 / p0)
+    error = F.sqrt(1 / (F.col("n0") + 0.5) + 1 / (F.col("n1") + 0.5))
+    return F.sign(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - errors * error)
+
+
+def _class_probabilities(counts: DataFrame, shared: DataFrame, discounts: list) -> DataFrame:
+    """counts(w, n0, n1), shared(w, q) -> with p0 and p1: discounted counts, and what they leave, spread by q."""
+    off = [kn.discount(F.col(f"n{c}"), discounts[c]) for c in (0, 1)]
     sums = counts.agg(*[F.sum(f"n{c}") for c in (0, 1)], *[F.sum(o) for o in off]).first()
     total = [float(sums[c] or 1) for c in (0, 1)]
     left = [float(sums[2 + c] or 0) / total[c] or 1.0 for c in (0, 1)]
-    # the words before each word, told apart by their hash, which is shorter than most
-    before = F.concat(F.array(F.lit(0).cast("long")), F.transform("w", lambda x: F.xxhash64(x)))
-    pairs = lists.select(F.explode(F.zip_with("w", F.slice(before, F.lit(1), F.size("w")), lambda w, b: F.struct(w.alias("w"), b.alias("before")))).alias("p")).select("p.*")
-    if stem:
-        pairs = pairs.where(F.length("w") > stem).select(F.substring("w", 1, stem).alias("w"), "before")
-    follows = stored(pairs.distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n")), "tox-follows")
-    fd = kn.discounts(follows)
-    fsum, kinds, foff = (float(x or 0) for x in follows.agg(F.sum("n"), F.count(F.lit(1)), F.sum(kn.discount(F.col("n"), fd))).first())
-    shared = (F.col("n") - kn.discount(F.col("n"), fd) + foff / (kinds + 1)) / max(fsum, 1.0)
-    p = [(F.col(f"n{c}") - off[c]) / total[c] + left[c] * F.col("q") for c in (0, 1)]
-    known = counts.where(F.col("n0") + F.col("n1") >= least).join(follows.select("w", shared.alias("q")), "w")
-    ratio = F.log(p[1] / p[0])
-    return known.select("w", (F.sign(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - CHANCE)).alias("v"))
-
-
-def ratios_of(marked: DataFrame) -> DataFrame:
-    """The ratios (stem, w, v) of words (stem 0) and of stems. What is not known speaks for neither class."""
-    parts = [word_ratios(marked, stem).select(F.lit(stem).alias("stem"), "w", "v") for stem in (0, *STEMS)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _salted(k: np.ndarray, stem: int) -> np.ndarray:
-    return wordhash.mix(k ^ np.uint64(stem)) if stem else k
-
-
-def keyed(ratios: DataFrame) -> DataFrame:
-    """(stem, w, v) -> (k, v, p): words and stems by the hash that tasks look them up with, and the hash of what all
-    that one word may need begins with."""
-
-    def hashed(batches):
+    p = [((F.col(f"n{c}") - off[c]) / total[c] + left[c] * F.col("q")).alias(f"p{c}") for c in (0, 1)]
+    return counts.join(shared, "w").select("w", "n0", "n1", *p)
+
+
+def _continuation(kinds: DataFrame) -> DataFrame:
+    """kinds(w, n): in how many different contexts w stands -> (w, q), discounted and interpolated with an even share."""
+    d = kn.discounts(kinds)
+    total, number, off = (float(x or 0) for x in kinds.agg(F.sum("n"), F.count(F.lit(1)), F.sum(kn.discount(F.col("n"), d))).first())
+    return kinds.select("w", ((F.col("n") - kn.discount(F.col("n"), d) + off / (number + 1)) / max(total, 1.0)).alias("q"))
+
+
+def ratios_of(counts: DataFrame, errors: float = ERRORS, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """counts(kind, h, w, n0, n1) (stored) -> (kind, h, w, v): the expressions with evidence, and their log ratios."""
+    seen = (F.col("n0") + F.col("n1") >= least) & (F.col("v") != 0)
+    zero = F.lit(0).cast("long").alias("h")
+    count_of = F.count(F.lit(1)).alias("n")
+    out = None
+    pairs = counts.where(F.col("kind") == PAIR).select("h", "w", "n0", "n1")
+    for kind in (WORD, *STEMS):
+        own = counts.where(F.col("kind") == kind)
+        contexts = stored((pairs if kind == WORD else own).groupBy("w").agg(count_of), "tox-contexts")
+        sums = stored(own.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "tox-sums")
+        d = [kn.discounts(sums.where(f"n{c} > 0"), f"n{c}") for c in (0, 1)]
+        shared = _continuation(contexts)
+        made = _class_probabilities(sums, shared, d).withColumn("v", _shrunk(F.col("p0"), F.col("p1"), errors)).where(seen).select(F.lit(kind).cast("byte").alias("kind"), zero, "w", "v")
+        out = made if out is None else out.unionByName(made)
+        if kind == WORD:
+            words = shared
+    # the same for words after a word: both classes leave to the words after it in both together, those to words anywhere
+    pairs = pairs.withColumn("n", F.col("n0") + F.col("n1"))
+    parts = ("n0", "n1", "n")
+    off = {c: kn.discount(F.col(c), kn.discounts(pairs.where(f"{c} > 0"), c)) for c in parts}
+    after = pairs.groupBy("h").agg(*[F.sum(c).alias(f"t_{c}") for c in parts], *[F.sum(off[c]).alias(f"off_{c}") for c in parts])
+    joined = pairs.where(F.col("n") >= least).join(after, "h").join(words, "w")
+    less = lambda c, q: (F.col(c) - off[c] + F.col(f"off_{c}") * q) / F.col(f"t_{c}")
+    joined = joined.withColumn("both", less("n", F.col("q")))
+    p = [F.when(F.col(f"t_{c}") > 0, less(c, F.col("both"))).otherwise(F.col("both")) for c in ("n0", "n1")]
+    made = joined.withColumn("v", _shrunk(p[0], p[1], errors)).where(seen)
+    return out.unionByName(made.select(F.lit(PAIR).cast("byte").alias("kind"), "h", "w", "v"))
+
+
+def ratio_sums(docs: DataFrame, ratios: DataFrame, norm: str, total: str, count: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """docs (without norm) with the sum of the ratios of the words of column norm, and their number. Of a word's
+    expressions that with the largest ratio speaks. ratios is stored; each part of shard_rows rows takes a pass."""
+
+    def keyed(batches):
         for pdf in batches:
-            for stem, part in pdf.groupby("stem"):
-                for first, w in wordhash.chunks(list(part["w"])):
-                    at, k = w.hashes()
-                    _, p = w.prefixes(STEMS[-1])
-                    yield pd.DataFrame({"k": _salted(k, int(stem)).view(np.int64), "v": part["v"].to_numpy(np.float64)[first + w.text[at]], "p": p.view(np.int64)})
-
-    return ratios.mapInPandas(hashed, "k long, v double, p long")
-
-
-def ratio_sums(docs: DataFrame, ratios: DataFrame, norm: str, total: str, count: str, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs with the sum of the ratios of the words of column norm, and their number; one pass for each shard."""
-    table = stored(keyed(ratios), "tox-model")
-    shards = max(1, -(-table.count() // shard_words))
-    out = docs.withColumns({total: F.lit(0.0), count: F.lit(0).cast("long")})
+            k = np.zeros(len(pdf), np.uint64)
+            h, w, kind = (pdf[c].to_numpy() for c in ("h", "w", "kind"))
+            for one in np.unique(kind):
+                at = np.flatnonzero(kind == one)
+                k[at] = _key(int(one), h[at].view(np.uint64), w[at].view(np.uint64))
+            yield pd.DataFrame({"k": k.view(np.int64), "v": pdf["v"].astype(np.float32)})
+
+    table = stored(ratios.mapInPandas(keyed, "k long, v float"), "tox-model")
+    shards = max(1, -(-table.count() // shard_rows))
+    best, = fresh(docs, "tox_best")
+    out = docs.withColumn(best, F.lit(None).cast("binary"))
     for shard in range(shards):
-        part = table.where(F.pmod("p", F.lit(shards)) == shard).select("k", "v").toPandas()
-        sent = docs.sparkSession.sparkContext.broadcast((part["k"].to_numpy(np.int64).view(np.uint64), part["v"].to_numpy(np.float32)))
-        out = _pass(out, sent, shard, shards, norm, total, count)
-        if shards > 1:
-            out = stored(out, f"tox-sum{shard}")
-    return out
-
-
-def _pass(docs: DataFrame, sent, shard: int, shards: int, norm: str, total: str, count: str) -> DataFrame:
+        out = _pass(out, table.where(F.pmod("k", F.lit(shards)) == shard), norm, best)
+        if shard < shards - 1:
+            out = stored(out.drop(f"{best}_sum", f"{best}_n"), f"tox-best{shard}")
+    # the last pass leaves the sum and the number in the place of the ratios
+    return out.withColumns({total: F.col(f"{best}_sum"), count: F.col(f"{best}_n")}).drop(norm, best, f"{best}_sum", f"{best}_n")
+
+
+def _pass(docs: DataFrame, table: DataFrame, norm: str, best: str) -> DataFrame:
+    """docs with the ratio of each word of norm by the surest of its expressions in this and earlier passes (floats, in
+    best), their sum and their number."""
+    rows = table.toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((rows["k"].to_numpy().view(np.uint64), rows["v"].to_numpy()))
     names, mark = docs.columns, uuid.uuid4().hex
+    schema = T.StructType([*docs.schema.fields, T.StructField(f"{best}_sum", T.DoubleType()), T.StructField(f"{best}_n", T.LongType())])
 
     def add(batches):
-        if mark not in kn._TABLES:
+        import pyarrow as pa
+
+        try:
             kn._TABLES.clear()
             kn._TABLES[mark] = kn.Table(*sent.value)
-        table = kn._TABLES[mark]
-        for pdf in batches:
-            sums, n = np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
-            for first, w in wordhash.chunks(list(pdf[norm])):
-                _, k = w.hashes()
-                own = np.arange(len(k))
-                if shards > 1:
-                    own = np.flatnonzero(np.mod(w.prefixes(STEMS[-1])[1].view(np.int64), shards) == shard)
-                known, value = table.get(k[own])
-                left = np.flatnonzero(~known)
-                for stem in STEMS:
-                    longer, h = w.prefixes(stem)
-                    at = left[longer[own[left]]]
-                    hit, v = table.get(_salted(h[own[at]], stem))
-                    value[at[hit]] = v[hit]
-                    left = np.setdiff1d(left, at[hit], assume_unique=True)
-                text = first + w.text[own]
-                sums += np.bincount(text, value, len(pdf))
-                n += np.bincount(text, minlength=len(pdf))
-            pdf = pdf.copy()
-            pdf.columns = names
-            pdf[total] = pdf[total].to_numpy(np.float64) + sums
-            pdf[count] = pdf[count].to_numpy(np.int64) + n
-            yield pdf
-
-    return docs.mapInPandas(add, T.StructType(docs.schema.fields))
+            known = kn._TABLES[mark]
+            for batch in batches:
+                texts, earlier = (batch.column(names.index(c)).to_pylist() for c in (norm, best))
+                sums, n, now = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [b""] * len(texts)
+                for first, w in wordhash.chunks(texts):
+                    value = np.zeros(len(w.start), np.float32)
+                    old = [x for x in earlier[first : first + len(w.count)] if x]
+                    if old:
+                        value = np.frombuffer(b"".join(old), "<f4").copy()
+                    for kind, at, h, x in _events(w):
+                        _, v = known.get(_key(kind, h, x))
+                        value[at] = np.where(np.abs(v) > np.abs(value[at]), v, value[at])
+                    end = first + len(w.count)
+                    sums[first:end], n[first:end] = np.bincount(w.text, value, len(w.count)), w.count
+                    now[first:end] = [value[e - k : e].tobytes() for e, k in zip(np.cumsum(w.count), w.count)]
+                columns = dict(zip(names, batch.columns)) | {best: pa.array(now, pa.binary())}
+                yield pa.RecordBatch.from_arrays([*[columns[c] for c in names], pa.array(sums), pa.array(n)], names=schema.names)
+        finally:
+            kn._TABLES.clear()
+
+    return docs.mapInArrow(add, schema)
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -156,7 +215,12 @@ def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return mid, float(b[0] / wide), float(b[1])
 
 
-def scored(docs: DataFrame, labels: DataFrame, text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def marks_of(labels: DataFrame) -> DataFrame:
+    """labels(doc_id, toxic) -> (doc_id, cls): one row per id, toxic if any of its labels is."""
+    return labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("cls"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, text: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """docs (doc_id, text and any others) with tox_ratio, held_out, score (0 to 1) and predicted.
 
     labels(doc_id, toxic) are learnt only where crc32(doc_id as text) mod 5 is not 0: remainders 1 to 3 (all their
@@ -165,17 +229,18 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", shard_words:
     Without labels of both kinds the score is one low (or high) number for all.
     """
     fold = crc_mod(F.col("doc_id"), 5)
-    marks = stored(labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("cls")), "tox-labels")
-    texts = docs.select("doc_id", F.col(text).alias("text"))
-    ratios = ratios_of(texts.join(small(marks.where(fold.isin(1, 2, 3))), "doc_id"))
-    ratios = stored(ratios, "tox-ratios")
-    rest = marks.where(fold == 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    sample = texts.join(small(stored(rest, "tox-rest")), "doc_id").select(words_text(F.col("text")).alias("norm"), "cls").limit(2 * CALIBRATION_ROWS)
-    pairs = ratio_sums(sample, ratios, "norm", "s", "n", shard_words).select("s", "n", "cls").toPandas()
-    mean = float(pairs["s"].sum() / max(pairs["n"].sum(), 1))
-    mid, slope, offset = fitted(((pairs["s"] - mean * pairs["n"]) / (pairs["n"] + PRIOR_WORDS)).to_numpy(float), pairs["cls"].to_numpy(float))
+    marks = stored(marks_of(labels), "tox-labels")
+    texts = docs.select("doc_id", words_text(F.col(text)).alias("norm"))
+    marked = texts.join(small(stored(marks.where(fold.isin(1, 2, 3)), "tox-train")), "doc_id").select("norm", "cls")
+    ratios = stored(ratios_of(stored(event_counts(marked), "tox-counts")), "tox-ratios")
+    rest = stored(marks.where(fold == 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS), "tox-rest")
+    sample = texts.join(F.broadcast(rest), "doc_id").select("norm", "cls")
+    pairs = ratio_sums(sample, ratios, "norm", "s", "n", shard_rows).select("s", "n", "cls").toArrow()
+    s, n, cls = (pairs[c].to_numpy().astype(float) for c in ("s", "n", "cls"))
+    mean = float(s.sum() / max(n.sum(), 1))
+    mid, slope, offset = fitted((s - mean * n) / (n + PRIOR_WORDS), cls)
     norm, total, count, ratio, held, score, predicted = fresh(docs, "tox_words", "tox_sum", "tox_count", "tox_ratio", "held_out", "score", "predicted")
-    out = ratio_sums(docs.withColumn(norm, words_text(F.col(text))), ratios, norm, total, count, shard_words)
+    out = ratio_sums(docs.withColumn(norm, words_text(F.col(text))), ratios, norm, total, count, shard_rows)
     out = out.withColumn(ratio, (F.col(total) - mean * F.col(count)) / (F.col(count) + PRIOR_WORDS)).drop(norm, total, count)
     out = out.withColumn(score, 1 / (1 + F.exp(-(slope * (F.col(ratio) - mid) + offset))))
     return out.withColumns({held: fold == 0, predicted: (F.col(score) >= 0.5).cast("int")})

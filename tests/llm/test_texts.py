@@ -189,6 +189,82 @@ def test_toxicity_held_out(spark, sf):
     assert ((out.score >= 0.5) == (out.predicted == 1)).all()
 
 
+def test_toxicity_ratios_are_brute_force(spark):
+    import numpy as np
+
+    from sightline.llm import wordhash
+
+    said = [("you rotten liars are bad", 1), ("the rotten liar is bad bad", 1), ("a good day is a good day", 0), ("the liars are not here today", 0), ("rotten apples are on the table", 0), ("", 0), ("you liar you rotten liarly", 1)]
+    hashed = lambda x: int(wordhash.Words([x.encode()]).hashes()[1].view(np.int64)[0])
+    start = int(np.array([toxicity._START]).view(np.int64)[0])
+    rows, docs_ = Counter(), [set() for _ in said]
+    for i, (t, _) in enumerate(said):
+        w = t.split()
+        for k, x in enumerate(w):
+            docs_[i] |= {(0, 0, hashed(x)), (2, hashed(w[k - 1]) if k else start, hashed(x))}
+            docs_[i] |= {(n, hashed(x), hashed(x[:n])) for n in toxicity.STEMS if len(x) > n}
+    for found, (_, c) in zip(docs_, said):
+        rows.update((*e, c) for e in found)
+    n = {e[:3]: (rows[(*e[:3], 0)], rows[(*e[:3], 1)]) for e in rows}
+
+    def cuts(values):
+        k = [sum(v == i for v in values) for i in (1, 2, 3, 4)]
+        if not k[0] or not k[1]:
+            return 0.5, 0.75, 0.9
+        y = k[0] / (k[0] + 2 * k[1])
+        d1, d2 = 1 - 2 * y * k[1] / k[0], 2 - 3 * y * k[2] / k[1]
+        d3 = 3 - 4 * y * k[3] / k[2] if k[2] else d2
+        return tuple(min(max(d, 0.1), top) for d, top in ((d1, 0.95), (d2, 1.9), (d3, 2.85)))
+
+    def cut(v, d):
+        return d[min(v, 3) - 1] if v else 0.0
+
+    want, shared = {}, {}
+    for kind in (0, *toxicity.STEMS):
+        total, kinds = {}, Counter()
+        for (k, _, w), (a, b) in n.items():
+            if k == kind:
+                x = total.get(w, (0, 0))
+                total[w] = (x[0] + a, x[1] + b)
+            if k == (2 if kind == 0 else kind):
+                kinds[w] += 1
+        d, every = cuts(kinds.values()), sum(kinds.values())
+        left = sum(cut(v, d) for v in kinds.values()) / (len(kinds) + 1)
+        q = {w: (v - cut(v, d) + left) / every for w, v in kinds.items()}
+        shared = q if kind == 0 else shared
+        p = []
+        for c in (0, 1):
+            d = cuts([v[c] for v in total.values() if v[c]])
+            size = sum(v[c] for v in total.values()) or 1
+            free = sum(cut(v[c], d) for v in total.values()) / size or 1.0
+            p.append({w: (v[c] - cut(v[c], d)) / size + free * q[w] for w, v in total.items()})
+        want |= {(kind, 0, w): math.log(p[1][w] / p[0][w]) for w in total}
+    pairs = {(h, w): (a, b, a + b) for (k, h, w), (a, b) in n.items() if k == 2}
+    d = [cuts([v[c] for v in pairs.values() if v[c]]) for c in range(3)]
+    after = {h: [(sum(v[c] for (x, _), v in pairs.items() if x == h), sum(cut(v[c], d[c]) for (x, _), v in pairs.items() if x == h)) for c in range(3)] for h, _ in pairs}
+    for (h, w), v in pairs.items():
+        both = (v[2] - cut(v[2], d[2]) + after[h][2][1] * shared[w]) / after[h][2][0]
+        p = [(v[c] - cut(v[c], d[c]) + after[h][c][1] * both) / after[h][c][0] if after[h][c][0] else both for c in (0, 1)]
+        want[2, h, w] = math.log(p[1] / p[0])
+    counts = toxicity.event_counts(spark.createDataFrame(said, "norm string, cls int"))
+    got = {(r.kind, r.h, r.w): r.v for r in toxicity.ratios_of(counts, errors=0.0, least=1).collect()}
+    assert {k for k, v in want.items() if abs(v) > 1e-12} <= got.keys()
+    assert all(v == pytest.approx(want[k], abs=1e-9) for k, v in got.items())
+
+
+def test_toxicity_edge_cases_and_shards(spark):
+    rows = [(i, t, "x") for i, t in enumerate([None, "", "vile vile words", "fine words here", "vile liar " * 30, "fine day " * 30] * 40)]
+    table = spark.createDataFrame([*rows, (None, "vile words", "y"), (3, "fine words here", "z")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int("vile" in (t or ""))) for i, t, _ in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    one = toxicity.scored(table, labels).collect()
+    many = toxicity.scored(table, labels, shard_rows=2).collect()
+    key = lambda r: (str(r.doc_id), r.text or "", r.score, r["score_"])
+    assert len(one) == len(rows) + 2 and [key(r)[:3] for r in sorted(one, key=key)] == [key(r)[:3] for r in sorted(many, key=key)]
+    assert all(a["score_"] == pytest.approx(b["score_"], abs=1e-6) for a, b in zip(sorted(one, key=key), sorted(many, key=key)))
+    assert all((r["score_"] >= 0.5) == ("vile" in (r.text or "")) for r in one if r.text and len(r.text) > 100)
+    assert toxicity.scored(table.limit(0), labels).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     out = toxicity.scored(docs(spark, [None, "", "a b c"]), spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert len(out) == 3 and all(0 <= r.score < 0.5 and r.predicted == 0 for r in out)
