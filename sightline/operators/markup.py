@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 SKIPPED = ("script", "style", "noscript", "template", "svg", "iframe")
 HEADINGS = ("h1", "h2", "h3", "h4")
 TEXTUAL = ("p", "ul", "ol", "table", "blockquote")
+#: Elements whose whole content no block holds.
+NOT_BLOCK = ("script", "style", "nav", "footer", "header", "aside", "form", "noscript")
 
 ELEMENTS = "url string, pos int, kind string, name string, value string, extra map<string,string>"
 BLOCKS = "url string, pos int, heading string, content string, word_count int"
@@ -24,11 +26,12 @@ class _Walk(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple[str, str, str | None, dict]] = []
         self.blocks: list[list] = [["Introduction", []]]
-        self.skip = 0
-        self.open: list[tuple[str, list[str], dict]] = []
+        self.skip = self.away = 0
+        self.open: list[tuple[str, list[str], list[str] | None, dict]] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
+        self.away += tag in NOT_BLOCK
         if tag in SKIPPED:
             self.skip += 1
         elif tag == "img":
@@ -42,9 +45,11 @@ class _Walk(HTMLParser):
         elif tag in HEADINGS or tag in TEXTUAL or tag in ("title", "a"):
             if tag in HEADINGS or tag in TEXTUAL:
                 self._close("p")  # a paragraph ends where another block begins
-            self.open.append((tag, [], a))
+            self.open.append((tag, [], None if self.away else [], a))
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in NOT_BLOCK:
+            self.away = max(0, self.away - 1)
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
         else:
@@ -52,20 +57,24 @@ class _Walk(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            for _, parts, _ in self.open:
+            for _, parts, kept, _ in self.open:
                 parts += (data, " ")  # runs of text between tags stand apart
+                if kept is not None and not self.away:
+                    kept += (data, " ")
 
     def _close(self, tag: str) -> None:
-        if not any(t == tag for t, _, _ in self.open):
+        if not any(o[0] == tag for o in self.open):
             return
         while self.open:
-            t, parts, a = self.open.pop()
+            t, parts, kept, a = self.open.pop()
             text = " ".join("".join(parts).split())
+            block = " ".join("".join(kept or ()).split())
             if t in HEADINGS:
                 self.rows.append(("heading", t, text, {}))
-                self.blocks.append([text, []])
-            elif t in TEXTUAL and len(text.split()) >= 5:
-                self.blocks[-1][1].append(text)
+                if kept is not None:
+                    self.blocks.append([block, []])
+            elif t in TEXTUAL and len(block.split()) >= 5:
+                self.blocks[-1][1].append(block)
             elif t == "title":
                 self.rows.append(("title", t, text, {}))
             elif t == "a" and a.get("href"):

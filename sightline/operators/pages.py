@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 from sightline.functions import text as tx
 from sightline.functions import urls as ux
 
-#: Elements whose content isn't prose, in the order in which they are removed (fixed values).
-NOT_PROSE = ("script", "style", "noscript", "template", "svg", "iframe", "head_")
+#: Elements whose content isn't prose, in the order in which they are removed.
+NOT_PROSE = ("script", "style", "nav", "footer", "header", "noscript", "template")
 #: Entities that are decoded in visible text.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-LINK = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)'
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"))
+#: A link: its href in double, single or no quotes, and what stands up to its end or the next link.
+LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>((?:[^<]+|<(?:[^a/]|a[^\s>]|/[^a]|/a[^\s>]))*)"""
 
 
 def stripped(html: Column) -> Column:
     """html without comments and without elements that hold no prose, each replaced by a space."""
     out = F.regexp_replace(tx.text_or_empty(html), r"(?s)<!--.*?-->", " ")
-    for tag in NOT_PROSE[:-1]:
-        out = F.regexp_replace(out, rf"(?is)<{tag}[^>]*>.*?</{tag}\s*>", " ")
-        out = F.regexp_replace(out, rf"(?i)<{tag}[^>]*>", " ")
+    for tag in NOT_PROSE:
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+        out = F.regexp_replace(out, rf"(?i)<{tag}\b[^>]*>", " ")
     return out
 
 
@@ -54,21 +55,39 @@ def outline(pages: DataFrame) -> DataFrame:
     return made.withColumn("is_spa", (F.col("words") < 100) & (F.col("scripts") >= 3))
 
 
+def without_dots(path: Column) -> Column:
+    """path with its . and .. segments worked out; what would go over the root stays there."""
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    parts = F.split(path, "/")
+    ended = F.when(path.rlike(r"/\.\.?$"), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.array_join(F.aggregate(ended, F.array().cast("array<string>"), step), "/")).otherwise(path)
+
+
+def resolved(href: Column, url: Column) -> Column:
+    """The address that href means on the page at url."""
+    scheme, path = F.lower(ux.part(url, 1)), F.regexp_extract(href, r"^([^?#]*)", 1)
+    base, base_path = F.concat(scheme, F.lit("://"), F.lower(ux.part(url, 2))), ux.part(url, 3)
+    own = F.when(base_path == "", F.lit("/")).otherwise(base_path)
+    near = F.concat(F.regexp_extract(own, r"^(.*/)", 1), path)
+    rest = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    # a fragment alone stays on the page's query
+    nothing = F.concat(base, own, F.when(rest.startswith("?"), F.lit("")).otherwise(ux.part(url, 4)), rest)
+    joined = F.concat(base, without_dots(F.when(path.startswith("/"), path).otherwise(near)), rest)
+    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(path == "", nothing).otherwise(joined)
+
+
 def links(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> (page_id, pos, href, anchor, target, is_internal), one row for each link.
 
-    Empty, fragment-only and javascript: links are left out; relative ones are resolved against the page's origin;
-    anchors keep their first 100 characters.
+    Empty, fragment-only and javascript: links are left out; relative ones are resolved against the page's address;
+    anchors are the text within the link, markup left out, of 100 characters at most. Null html has no links.
     """
-    every = F.regexp_extract_all("html", F.lit(LINK), F.lit(1))
-    anchors = F.regexp_extract_all("html", F.lit(LINK), F.lit(2))
-    rows = pages.select("page_id", "url", F.posexplode(F.arrays_zip(every.alias("href"), anchors.alias("anchor"))).alias("pos", "l"))
-    rows = rows.select("page_id", "url", "pos", F.trim(F.col("l.href")).alias("href"), F.substring(tx.collapsed(F.col("l.anchor")), 1, 100).alias("anchor"))
+    group = lambda n: F.regexp_extract_all("html", F.lit(LINK), F.lit(n))
+    rows = pages.select("page_id", "url", F.posexplode(F.arrays_zip(group(1).alias("d"), group(2).alias("s"), group(3).alias("n"), group(4).alias("anchor"))).alias("pos", "l"))
+    anchor = tx.collapsed(F.regexp_replace("l.anchor", r"<[^>]*>", " "))
+    rows = rows.select("page_id", "url", "pos", F.trim(F.concat("l.d", "l.s", "l.n")).alias("href"), F.substring(anchor, 1, 100).alias("anchor"))
     rows = rows.where("href <> '' and not startswith(href, '#') and not startswith(lower(href), 'javascript:')")
-    base = F.concat(F.lower(ux.part(F.col("url"), 1)), F.lit("://"), F.lower(ux.part(F.col("url"), 2)))
-    href = F.col("href")
-    target = F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(href.startswith("//"), F.concat(F.lower(ux.part(F.col("url"), 1)), F.lit(":"), href)).when(href.startswith("/"), F.concat(base, href)).otherwise(F.concat(base, F.lit("/"), href))
-    rows = rows.withColumn("target", target)
+    rows = rows.withColumn("target", resolved(F.col("href"), F.col("url")))
     return rows.select("page_id", "pos", "href", "anchor", "target", (ux.host(F.col("target")) == ux.host(F.col("url"))).alias("is_internal"))
 
 

@@ -89,11 +89,22 @@ def sitemap_coverage(listed: DataFrame, crawled: DataFrame) -> DataFrame:
 
 
 def llms_report(files: DataFrame) -> DataFrame:
-    """files(site, text) of llms.txt -> (site, has_title, has_description, sections, links, score): 100 at best."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    count = lambda p: F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0)))
-    made = files.select("site", t.rlike(r"(?m)^# \S").alias("has_title"), t.rlike(r"(?m)^> \S").alias("has_description"), count(r"(?m)^## ").alias("sections"), count(r"\[[^\]]+\]\([^)]+\)").alias("links"))
-    return made.withColumn("score", F.expr("40 * int(has_title) + 20 * int(has_description) + 20 * int(sections > 0) + 20 * int(links > 0)"))
+    """files(site, text) of llms.txt -> (site, exists, has_title, has_description, sections, links, format_valid, issues,
+    suggestions). The title must stand in the first line, links in list items. A null text is a missing file: nothing
+    is suggested for it."""
+    t = F.trim(F.coalesce(F.col("text"), F.lit("")))
+    lines = F.split(t, r"\r?\n")
+    starts = lambda mark: F.size(F.filter(lines, lambda x: x.startswith(mark)))
+    made = files.select("site", F.col("text").isNotNull().alias("exists"), F.get(lines, F.lit(0)).startswith("# ").alias("has_title"), (starts("> ") > 0).alias("has_description"), starts("## ").alias("sections"),
+                        F.size(F.regexp_extract_all(t, F.lit(r"(?m)^\s*-\s*\[.+\]\(.+\)"), F.lit(0))).alias("links"), F.lower(t).alias("low"))
+    said = lambda tests: F.array_compact(F.array(*[F.when(test, F.lit(text)) for test, text in tests]))
+    issues = said([(~F.col("has_title"), "no title in the first line"), (~F.col("has_description"), "no description"), (F.col("sections") == 0, "no section"), (F.col("links") == 0, "no link in a list")])
+    facts = F.col("low").contains("key fact") | F.col("low").contains("about")
+    advice = said([(F.col("links") < 5, "more key pages"), (F.col("sections") < 2, "more sections"), (~F.col("low").contains("contact"), "a contact section"), (~facts, "key facts")])
+    none = F.array().cast("array<string>")
+    made = made.withColumn("issues", F.when(F.col("exists"), issues).otherwise(F.array(F.lit("no file")))).withColumn("suggestions", F.when(F.col("exists"), advice).otherwise(none))
+    valid = F.col("has_title") & F.col("has_description") & (F.col("sections") > 0) & (F.col("links") > 0)
+    return made.select("site", "exists", "has_title", "has_description", "sections", "links", valid.alias("format_valid"), "issues", "suggestions")
 
 
 def llms_text(entries: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from sightline.registry import query, table
 _PARTS = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
 _HOST = rf"lower(regexp_replace(regexp_replace(regexp_extract(url, {_PARTS}, 2), '^.*@', ''), ':\d*$', ''))"
 _STRIP = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g')"
-for _tag in pages.NOT_PROSE[:-1]:
-    _STRIP = f"regexp_replace(regexp_replace({_STRIP}, '(?is)<{_tag}[^>]*>.*?</{_tag}\\s*>', ' ', 'g'), '(?i)<{_tag}[^>]*>', ' ', 'g')"
+for _tag in ("script", "style", "nav", "footer", "header", "noscript", "template"):
+    _STRIP = f"regexp_replace(regexp_replace({_STRIP}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', ' ', 'g'), '(?i)<{_tag}\\b[^>]*>', ' ', 'g')"
 _VISIBLE = f"regexp_replace({_STRIP}, '<[^>]*>', ' ', 'g')"
 for _a, _b in pages.ENTITIES:
     _VISIBLE = "replace(" + _VISIBLE + ", '" + _a + "', '" + _b.replace("'", "''") + "')"
@@ -25,34 +25,39 @@ def _element(tag: str) -> str:
     return f"if(regexp_matches(html, '(?i)<{tag}[\\s>]'), trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>', 1), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\f\\r]+', ' ', 'g')), null)"
 
 
-_LINK = pages.LINK.replace("'", "''")
 _WORDS = f"len(list_filter(regexp_split_to_array({_VISIBLE}, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> ''))"
 
 
-@query(f"""select page_id, url, {_element("title")} as title, {_element("h1")} as h1, {_WORDS} as words, len(regexp_extract_all(html, '{_LINK}')) as links,
+@query(f"""select page_id, url, {_element("title")} as title, {_element("h1")} as h1, {_WORDS} as words, len(list_filter(string_split_regex(html, '(?i)<a\\s')[2:], lambda x: regexp_matches(x, '(?i)^(?:[^>]*?\\s)?href\\s*='))) as links,
  len(regexp_extract_all(html, '(?i)<p[\\s>]')) as paragraphs, len(regexp_extract_all(html, '(?i)<script')) as scripts, {_WORDS} < 100 and len(regexp_extract_all(html, '(?i)<script')) >= 3 as is_spa from pages""")
 def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.outline(table(spark, sf_dir, "pages"))
 
 
-_LINKS = f"""with l as (select page_id, url, unnest(range(0, len(h))) as pos, unnest(h) as href, unnest(a) as anchor from (select page_id, url, regexp_extract_all(html, '{_LINK}', 1) as h, regexp_extract_all(html, '{_LINK}', 2) as a from pages)),
-k as (select page_id, url, pos, trim(href) as href, substring(trim(regexp_replace(anchor, '[ \\t\\n\\f\\r]+', ' ', 'g')), 1, 100) as anchor from l),
-f as (select *, lower(regexp_extract(url, {_PARTS}, 1)) as scheme, lower(regexp_extract(url, {_PARTS}, 2)) as auth from k where href <> '' and not starts_with(href, '#') and not starts_with(lower(href), 'javascript:')),
-t as (select *, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') then href when starts_with(href, '//') then scheme || ':' || href when starts_with(href, '/') then scheme || '://' || auth || href else scheme || '://' || auth || '/' || href end as target from f),
-g as (select page_id, pos, href, anchor, target, {_HOST.replace("(url,", "(target,")} = {_HOST} as is_internal from t)"""
+# hrefs are cut out of whole opening tags here, and anchors end where any tag of a link follows
+_TAG = r"'(?i)<a\s[^>]*>'"
+_LINKS = rf"""with c as (select page_id, url, unnest(range(1, len(x))) as i, x from (select page_id, url, string_split_regex(html, '(?i)<a\s') as x from pages)),
+l as (select page_id, url, row_number() over (partition by page_id order by i) - 1 as pos, regexp_extract(x[i + 1], '(?i)^(?:[^>]*?\s)?href\s*=\s*["'']?([^"''\s>]*)', 1) as href, string_split_regex(regexp_replace(x[i + 1], '^[^>]*>', ''), '(?i)</a[\s>]')[1] as anchor from c where regexp_matches(x[i + 1], '(?i)^(?:[^>]*?\s)?href\s*=')),
+k as (select page_id, url, pos, trim(href) as href, substring(trim(regexp_replace(regexp_replace(anchor, '<[^>]*>', ' ', 'g'), '[ \t\n\f\r]+', ' ', 'g')), 1, 100) as anchor from l),
+f as (select *, lower(regexp_extract(url, {_PARTS}, 1)) as scheme, lower(regexp_extract(url, {_PARTS}, 2)) as auth, regexp_extract(url, {_PARTS}, 3) as path from k where href <> '' and not starts_with(href, '#') and not starts_with(lower(href), 'javascript:')),
+t as (select *, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\-]*:') then href when starts_with(href, '//') then scheme || ':' || href when starts_with(href, '/') then scheme || '://' || auth || href
+ else scheme || '://' || auth || if(path = '', '/', regexp_extract(path, '^(.*/)', 1)) || href end as target from f),
+g as (select page_id, url, pos, href, anchor, target, {_HOST.replace("(url,", "(target,")} = {_HOST} as is_internal from t)"""
 
 
-@query(_LINKS + " select * from g")
+@query(_LINKS + " select * exclude (url) from g")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.links(table(spark, sf_dir, "pages"))
 
 
-@query(_LINKS + """, e as (select distinct page_id as src, target as dst from g where is_internal), n as (select dst, count(*) as incoming from e group by dst)
-select dst as node, incoming, incoming = 0 as is_orphan, incoming >= 3 as well_linked from n""")
+@query(_LINKS + """, e as (select distinct url as src, target as dst from g where is_internal and url <> target), n as (select dst, count(*) as incoming from e group by dst),
+o as (select url as node from pages union select target from g where is_internal)
+select node, coalesce(incoming, 0) as incoming, incoming is null as is_orphan, coalesce(incoming, 0) >= 3 as well_linked from o left join n on node = dst""")
 def link_in_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pages.links(table(spark, sf_dir, "pages")).where("is_internal")
-    edges = rows.select(F.concat(F.lit("page "), "page_id").alias("src"), F.col("target").alias("dst"))
-    return pages.in_degrees(edges, edges.select(F.col("dst").alias("node")).distinct())
+    every = table(spark, sf_dir, "pages")
+    rows = pages.links(every).where("is_internal").join(every.select("page_id", "url"), "page_id")
+    edges = rows.select(F.col("url").alias("src"), F.col("target").alias("dst"))
+    return pages.in_degrees(edges, edges.select(F.col("dst").alias("node")).union(every.select("url")).distinct())
 
 
 def _first(url: str) -> str:

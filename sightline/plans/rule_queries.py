@@ -109,9 +109,20 @@ def plainer_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.plainer(spark.createDataFrame(rows, "text string, n int")).drop("text")
 
 
-@query("select * from (values ('a', true, true, 2, 2, 100), ('b', false, false, 0, 0, 0)) t(site, has_title, has_description, sections, links, score)")
+# llms.txt files of the pages, with and without each part by the page's number
+_FILE = """case when page_id % 11 = 0 then null else concat(case when page_id % 3 = 0 then 'Site' else '# Site' end, chr(10), case when page_id % 2 = 0 then '> About it' else 'plain' end, chr(10),
+ repeat(concat('## Part', chr(10)), cast(page_id % 4 as int)), repeat(concat('- [Page](', url, '): text', chr(10)), cast(page_id % 7 as int)), case when page_id % 5 = 0 then '## Contact' else 'see [x](y)' end) end"""
+
+
+@query(f"""with f as (select cast(page_id as varchar) as site, {_FILE.replace(" int)", " bigint)")} as text from pages), l as (select site, text, string_split(coalesce(text, ''), chr(10)) as x from f),
+m as (select site, text is not null as exists, starts_with(x[1], '# ') as has_title, len(list_filter(x, lambda y: starts_with(y, '> '))) > 0 as has_description, len(list_filter(x, lambda y: starts_with(y, '## '))) as sections,
+ len(list_filter(x, lambda y: starts_with(y, '- [') and contains(y, ']('))) as links, lower(coalesce(text, '')) as low from l)
+select site, exists, has_title, has_description, sections, links, has_title and has_description and sections > 0 and links > 0 as format_valid,
+ case when not exists then 'no file' else array_to_string(list_filter([if(has_title, null, 'no title in the first line'), if(has_description, null, 'no description'), if(sections = 0, 'no section', null), if(links = 0, 'no link in a list', null)], lambda y: y is not null), ',') end as issues,
+ case when not exists then '' else array_to_string(list_filter([if(links < 5, 'more key pages', null), if(sections < 2, 'more sections', null), if(contains(low, 'contact'), null, 'a contact section'), if(contains(low, 'key fact') or contains(low, 'about'), null, 'key facts')], lambda y: y is not null), ',') end as suggestions from m""")
 def llms_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sites.llms_report(spark.createDataFrame([("a", "# T\n> d\n\n## Blog\n- [B](v)\n\n## Docs\n- [T](u)"), ("b", None)], "site string, text string"))
+    files = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("cast(page_id as string) as site", f"{_FILE} as text")
+    return sites.llms_report(files).withColumns({c: F.array_join(c, ",") for c in ("issues", "suggestions")})
 
 
 @query("select * from (values ('r', 0), ('a', 1), ('b', 2)) t(node, depth)")

@@ -128,7 +128,7 @@ def test_sites(spark):
     assert {r.node: r.depth for r in sites.sitemap_crawl(edges, spark.createDataFrame([("r",)], "node string")).collect()} == {"r": 0, "a": 1, "b": 2}
     text = sites.llms_text(spark.createDataFrame([("a", "Docs", "T", "u"), ("a", "Blog", "B", "v")], "site string, section string, title string, url string")).first().text
     assert text == "## Blog\n- [B](v)\n\n## Docs\n- [T](u)"
-    assert sites.llms_report(spark.createDataFrame([("a", "# T\n> d\n\n" + text), ("b", None)], "site string, text string")).orderBy("site").collect()[0].score == 100
+    assert sites.llms_report(spark.createDataFrame([("a", "# T\n> d\n\n" + text), ("b", None)], "site string, text string")).orderBy("site").collect()[0].format_valid
 
 
 def test_markets(spark):
@@ -245,3 +245,28 @@ def test_vendor_payloads(spark):
     assert [(x["name"], x.mentions) for x in vendors.entities(one_row("id", nlp)).orderBy("rank").collect()] == [("b", 2), ("a", 1)]
     who = spark.createDataFrame([("a", "Domain: a\nCreation Date: 2001-02-03T00:00:00Z\nRegistrar: R Inc\n"), ("b", "created: 03-Feb-2001\n"), ("c", None)], "domain string, text string")
     assert {x.domain: (str(x.created), x.registrar) for x in vendors.whois(who).collect()} == {"a": ("2001-02-03", "R Inc"), "b": ("2001-02-03", None), "c": ("None", None)}
+
+
+def test_links_resolve_like_a_browser(spark):
+    html = """<nav><a href="b.html"><b>bold</b> text</a></nav><a class=x href='../c'>one</a><a href=?q=1>two</a><a data-href="no" href="/d/./e/../f#t">three<a href="//o.org/x">four</a>
+      <a href="#top">no</a><a href="JavaScript:x()">no</a><a name="n">no</a><a href="mailto:a@b.c">five</a>"""
+    rows = pages.links(spark.createDataFrame([(1, "http://S.org/x/y/z.html?p=2", html), (2, "http://s.org", '<a href="b">u</a>'), (3, "http://s.org", None)], "page_id long, url string, html string")).collect()
+    assert [(r.anchor, r.target) for r in rows if r.page_id == 1] == [("bold text", "http://s.org/x/y/b.html"), ("one", "http://s.org/x/c"), ("two", "http://s.org/x/y/z.html?q=1"), ("three", "http://s.org/d/f#t"), ("four", "http://o.org/x"), ("five", "mailto:a@b.c")]
+    assert [r.target for r in rows if r.page_id != 1] == ["http://s.org/b"]
+
+
+def test_blocks_and_words_leave_out_what_surrounds_content(spark):
+    around = "menu words " * 30
+    html = f"<header><h2>Site</h2><p>{around}</p></header><nav><ul><li>{around}</li></ul></nav><h2>Head</h2><p>{'real words here ' * 10}</p><form><p>{around}</p></form><aside><p>{around}</p></aside><footer><p>{around}</p></footer>"
+    table = spark.createDataFrame([("u", html), ("v", f"<nav><p>{around}</p></nav>"), ("w", None)], "url string, html string")
+    assert [(r.url, r.heading, r.word_count) for r in markup.blocks(table).collect()] == [("u", "Head", 30)]
+    words = {r.url: r.n for r in table.select("url", tx.word_count(pages.visible(F.col("html"))).alias("n")).collect()}
+    assert words["v"] == 0 and words["w"] == 0 and words["u"] == 1 + 30 + 120
+
+
+def test_llms_report_reads_lines(spark):
+    rows = [("a", "intro\n# late title\n> d\n## S\n- [t](u)"), ("b", "# T\n\n> d\n## S\nsee [t](u)"), ("c", "")]
+    got = {r.site: r for r in sites.llms_report(spark.createDataFrame(rows, "site string, text string")).collect()}
+    assert not got["a"].has_title and got["a"].links == 1 and not got["a"].format_valid
+    assert got["b"].has_title and got["b"].links == 0 and got["b"].issues == ["no link in a list"]
+    assert len(got["c"].issues) == 4 and got["c"].exists
