@@ -35,25 +35,44 @@ ERRORS = 3.0
 PRIOR_WORDS = 100
 #: Rows of the model that are sent to a task at once: 12 bytes each, about 5 times that with the table's gaps.
 SHARD_ROWS = 2_000_000
+#: Bytes of text that are worked on at once.
+PART = 400_000
 #: Kinds of rows besides stems: a word, and two words.
 WORD, PAIR = 0, 2
-_START = np.uint64(0x5DEECE66D)
+_START = np.uint64(0x5DEECE66)
+
+
+def _hashes(h: np.ndarray) -> np.ndarray:
+    """The upper 40 bits: of a million different words one shares its hash with another of them."""
+    return h >> np.uint64(24)
 
 
 def _events(w: wordhash.Words) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(kind, at, h, w) of what each word (number at) says: itself (h is 0), with the word before (h), its stems (h is the
     word)."""
-    _, own = w.hashes()
+    own = _hashes(w.hashes()[1])
     before = np.concatenate([[_START], own[:-1]]) if len(own) else own
     before[w.first[w.count > 0]] = _START
     every = np.arange(len(own))
     out = [(WORD, every, np.zeros(len(own), np.uint64), own), (PAIR, every, before, own)]
     for stem in STEMS:
         longer, h = w.prefixes(stem)
-        out.append((stem, np.flatnonzero(longer), own[longer], h[longer]))
+        out.append((stem, np.flatnonzero(longer), own[longer], _hashes(h[longer])))
     return out
 
 
+def _packed(kind: int, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kind and hashes in a long and an int: half of what they take in a shuffle otherwise."""
+    return h << np.uint64(24) | w >> np.uint64(16), (w & np.uint64(0xFFFF)).astype(np.int32) | np.int32(kind << 16)
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """(a, b, n0, n1) -> (kind, h, w, n0, n1)."""
+    h = F.shiftrightunsigned(F.col("a"), 24).alias("h")
+    w = F.shiftleft(F.col("a").bitwiseAND(F.lit(0xFFFFFF)), 16).bitwiseOR(F.col("b").bitwiseAND(F.lit(0xFFFF)).cast("long")).alias("w")
+    return rows.select(F.shiftright(F.col("b"), 16).cast("byte").alias("kind"), h, w, "n0", "n1")
+
+
 def _key(kind: int, h: np.ndarray, w: np.ndarray) -> np.ndarray:
     """What tasks look expressions up with; h counts for pairs alone."""
     return wordhash.mix(wordhash.mix(h) + w) if kind == PAIR else wordhash.mix(w + np.uint64(kind)) if kind else w
@@ -65,7 +84,7 @@ def event_counts(marked: DataFrame) -> DataFrame:
     def count(batches):
         for pdf in batches:
             cls = pdf["cls"].to_numpy(np.int64)
-            for first, words in wordhash.chunks(list(pdf["norm"])):
+            for first, words in wordhash.chunks(list(pdf["norm"]), PART):
                 for kind, at, h, w in _events(words):
                     text = words.text[at]
                     order = np.lexsort((text, w, h))
@@ -78,9 +97,11 @@ def event_counts(marked: DataFrame) -> DataFrame:
                     at, toxic = np.flatnonzero(new), cls[first + text]
                     if len(at):
                         n1, n = np.add.reduceat(toxic, at), np.diff(np.append(at, len(w)))
-                        yield pd.DataFrame({"kind": np.full(len(at), kind, np.int8), "h": h[at].view(np.int64), "w": w[at].view(np.int64), "n0": n - n1, "n1": n1})
+                        a, b = _packed(kind, h[at], w[at])
+                        yield pd.DataFrame({"a": a.view(np.int64), "b": b, "n0": n - n1, "n1": n1})
 
-    return marked.mapInPandas(count, "kind byte, h long, w long, n0 long, n1 long").groupBy("kind", "h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    made = marked.mapInPandas(count, "a long, b int, n0 long, n1 long").groupBy("a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return _unpacked(stored(made, "tox-counts"))
 
 
 def _shrunk(p0: Column, p1: Column, errors: float) -> Column:
@@ -180,7 +201,7 @@ def _pass(docs: DataFrame, table: DataFrame, norm: str, best: str) -> DataFrame:
             for batch in batches:
                 texts, earlier = (batch.column(names.index(c)).to_pylist() for c in (norm, best))
                 sums, n, now = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [b""] * len(texts)
-                for first, w in wordhash.chunks(texts):
+                for first, w in wordhash.chunks(texts, PART):
                     value = np.zeros(len(w.start), np.float32)
                     old = [x for x in earlier[first : first + len(w.count)] if x]
                     if old:
@@ -232,7 +253,7 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", shard_rows: i
     marks = stored(marks_of(labels), "tox-labels")
     texts = docs.select("doc_id", words_text(F.col(text)).alias("norm"))
     marked = texts.join(small(stored(marks.where(fold.isin(1, 2, 3)), "tox-train")), "doc_id").select("norm", "cls")
-    ratios = stored(ratios_of(stored(event_counts(marked), "tox-counts")), "tox-ratios")
+    ratios = stored(ratios_of(event_counts(marked)), "tox-ratios")
     rest = stored(marks.where(fold == 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS), "tox-rest")
     sample = texts.join(F.broadcast(rest), "doc_id").select("norm", "cls")
     pairs = ratio_sums(sample, ratios, "norm", "s", "n", shard_rows).select("s", "n", "cls").toArrow()

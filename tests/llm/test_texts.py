@@ -190,13 +190,11 @@ def test_toxicity_held_out(spark, sf):
 
 
 def test_toxicity_ratios_are_brute_force(spark):
-    import numpy as np
-
     from sightline.llm import wordhash
 
     said = [("you rotten liars are bad", 1), ("the rotten liar is bad bad", 1), ("a good day is a good day", 0), ("the liars are not here today", 0), ("rotten apples are on the table", 0), ("", 0), ("you liar you rotten liarly", 1)]
-    hashed = lambda x: int(wordhash.Words([x.encode()]).hashes()[1].view(np.int64)[0])
-    start = int(np.array([toxicity._START]).view(np.int64)[0])
+    hashed = lambda x: int(toxicity._hashes(wordhash.Words([x.encode()]).hashes()[1])[0])
+    start = int(toxicity._START)
     rows, docs_ = Counter(), [set() for _ in said]
     for i, (t, _) in enumerate(said):
         w = t.split()
