@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 #: Characters of a word in word_count(): any letter or number, and the underscore.
 NON_WORD = r"[^\p{L}\p{N}_]+"
-#: Tokens of the content-quality scores.
+#: Tokens of the content-quality scores (fixed).
 TOKEN = r"[A-Za-z][A-Za-z'\-]*"
-#: Names of two or more capitalised words, and numbers with an optional fraction and ordinal.
+#: Names of two or more capitalised words, and numbers with an optional fraction and ordinal (fixed).
 ENTITY = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
 NUMBER = r"\b\d+(?:[.,]\d+)?(?:%|st|nd|rd|th)?\b"
 

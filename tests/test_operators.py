@@ -189,7 +189,7 @@ def test_claims_and_citations(spark):
     rows = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
     got = [(r.doc_id, r.kind, r.claim, r.citation is not None) for r in claims.claims(rows).orderBy("doc_id", "position").collect()]
     assert got == [(1, "statistic", "45% of users", True), (1, "quantity", "$3 million", False), (1, "temporal", "in 2019", False), (2, "quantity", "2,000 people", False), (2, "comparative", "twice as good", False), (4, "statistic", "50 %", False)]
-    assert all(len(claims.blanked(t)) == len(t) for t in texts.values() if t)
+    assert all(len(claims.prose_only(t)) == len(t) for t in texts.values() if t)
     per = {r.doc_id: (r.claims, r.uncited_ratio, r.passed) for r in claims.verified(rows).collect()}
     assert per == {1: (3, 0.667, False), 2: (2, 1.0, False), 3: (0, 0.0, True), 4: (1, 1.0, False)}
 
@@ -270,3 +270,11 @@ def test_llms_report_reads_lines(spark):
     assert not got["a"].has_title and got["a"].links == 1 and not got["a"].format_valid
     assert got["b"].has_title and got["b"].links == 0 and got["b"].issues == ["no link in a list"]
     assert len(got["c"].issues) == 4 and got["c"].exists
+
+
+def test_claims_own_their_characters_and_windows_are_bytes(spark):
+    text = "About 40% of all users agree, in 2021. <style>p{width:100%}</style><script>5 % x"
+    assert [(text[s:e], k) for s, e, k in claims.found_in(claims.prose_only(text))] == [("40% of all users agree", "statistic"), ("in 2021", "temporal")]
+    wide = "é" * 120
+    assert claims.cited_near(f"[1] {wide} 40%", len(f"[1] {wide} ")) is None  # 241 bytes before, 125 characters
+    assert claims.cited_near(f"[1] {wide[:90]} 40%", len(f"[1] {wide[:90]} ")) == "[1]"
