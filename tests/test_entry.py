@@ -1,6 +1,7 @@
 """Every query with SQL against that SQL, and the driver's entry."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -22,7 +23,7 @@ def con():
 def cell(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
-    return f"{float(v):.5f}" if isinstance(v, float) else str(v)
+    return f"{float(v):.5f}" if isinstance(v, (float, Decimal)) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
