@@ -27,8 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch at most: whole texts go to Python.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches to those of ARROW; it leaves smaller ones."""
+    for key, most in ARROW.items():
+        now = spark.conf.get(key, None)
+        size = int(now) if now and now.lstrip("-").isdigit() else 0
+        if size <= 0 or size > most:
+            spark.conf.set(key, str(most))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there, whatever executor goes."""
+    bound_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/sightline-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -78,6 +78,16 @@ def _key(kind: int, h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return wordhash.mix(wordhash.mix(h) + w) if kind == PAIR else wordhash.mix(w + np.uint64(kind)) if kind else w
 
 
+def _counted(words: wordhash.Words) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """_events() without the words themselves, which the shortest stem's rows name: there w is 0 if a word has no stem."""
+    events = {e[0]: e for e in _events(words)}
+    _, every, _, own = events.pop(WORD)
+    _, at, _, stem = events[STEMS[-1]]
+    w = np.zeros(len(own), np.uint64)
+    w[at] = stem
+    return [*(e for kind, e in events.items() if kind != STEMS[-1]), (STEMS[-1], every, own, w)]
+
+
 def event_counts(marked: DataFrame) -> DataFrame:
     """marked(norm, cls) -> (kind, h, w, n0, n1): in how many documents of each class each expression stands."""
 
@@ -85,7 +95,7 @@ def event_counts(marked: DataFrame) -> DataFrame:
         for pdf in batches:
             cls = pdf["cls"].to_numpy(np.int64)
             for first, words in wordhash.chunks(list(pdf["norm"]), PART):
-                for kind, at, h, w in _events(words):
+                for kind, at, h, w in _counted(words):
                     text = words.text[at]
                     order = np.lexsort((text, w, h))
                     text, h, w = text[order], h[order], w[order]
@@ -101,7 +111,9 @@ def event_counts(marked: DataFrame) -> DataFrame:
                         yield pd.DataFrame({"a": a.view(np.int64), "b": b, "n0": n - n1, "n1": n1})
 
     made = marked.mapInPandas(count, "a long, b int, n0 long, n1 long").groupBy("a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    return _unpacked(stored(made, "tox-counts"))
+    rows = _unpacked(stored(made, "tox-counts"))
+    words = rows.where(F.col("kind") == STEMS[-1]).select(F.lit(WORD).cast("byte").alias("kind"), F.lit(0).cast("long").alias("h"), F.col("h").alias("w"), "n0", "n1")
+    return rows.where((F.col("kind") != STEMS[-1]) | (F.col("w") != 0)).unionByName(words)
 
 
 def _shrunk(p0: Column, p1: Column, errors: float) -> Column:
