@@ -178,6 +178,49 @@ def test_language_held_out_accuracy(spark, sf):
     assert [r.lang_pred for r in langid.predicted(odd, langid.fit(rows.limit(0).select("text", "lang"))).collect()] == ["und"] * 4
 
 
+def test_language_scores_equal_brute_force_with_any_table(spark):
+    texts = ["the cat sat on the mat", "the dog and the catlike dogs", "le chat est sur le tapis", "le chien et les chats", "der Hund und die Katze", "the le der", "xyzzy catty chatte", "žžž 漢字", None, "", "123 !", "cat " * 30_000]
+    langs = ["en", "en", "fr", "fr", "de", None, None, None, "en", "fr", None, "en"]
+    rows = spark.createDataFrame([(i % 11, t, x, i) for i, (t, x) in enumerate(zip(texts * 2, langs * 2))], "doc_id long, text string, lang string, lang_pred int")
+    learn = [(t, x) for i, (t, x) in enumerate(zip(texts * 2, langs * 2)) if x and crc(i % 11, 4) != 2]
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    grams = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    known = sorted({x for _, x in learn})
+    seen = {x: Counter(w for t, y in learn if y == x for w in words(t)) for x in known}
+    cut = {x: Counter() for x in known}
+    for x in known:
+        for w, n in seen[x].items():
+            for size in range(1, 5):
+                for g in grams(w, size):
+                    cut[x][g] += n
+
+    def logs(w):
+        if any(w in seen[x] for x in known):
+            return [math.log((seen[x][w] + 0.5) / (seen[x].total() + 1)) for x in known]
+        for size in range(4, 0, -1):
+            some = [g for g in grams(w, size) if any(g in cut[x] for x in known)]
+            if some:
+                return [sum(math.log((cut[x][g] + 0.5) / (cut[x].total() + 1)) for g in some) / len(some) for x in known]
+        return None
+
+    def expected(t):
+        ws = words(t)
+        if not ws:
+            return "und", 0.0
+        got = [v for w in ws if (v := logs(w))]
+        mean = [sum(v[j] for v in got) / max(len(got), 1) * min(len(got), 20) for j in range(len(known))]
+        p = [math.exp(m - max(mean)) for m in mean]
+        return known[p.index(max(p))], max(p) / sum(p)
+
+    for size in (langid.TABLE_BYTES, 100, 0):  # all words in the table, some, none
+        got = langid.identified(rows, size).orderBy("lang_pred").collect()
+        assert len(got) == len(texts) * 2 and got[0].asDict().keys() == {"doc_id", "lang", "lang_pred", "lang_pred_", "score", "held_out"}
+        for r in got:
+            lang, score = expected(texts[r.lang_pred % len(texts)])
+            assert abs(r.score - score) < 1e-4 and r.lang_pred_ == lang and r.held_out == (crc(r.doc_id, 4) == 2), (r, lang, score, known, logs("the"), logs("le"), logs("der"))
+    assert langid.identified(rows.limit(0)).count() == 0
+
+
 def test_toxicity_held_out(spark, sf):
     rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
