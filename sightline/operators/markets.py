@@ -135,6 +135,10 @@ VISIBILITY_BANDS = ((90, "excellent"), (75, "good"), (60, "fair"), (40, "poor"),
 REPORT = {"platform": 0.25, "content": 0.25, "technical": 0.20, "schema": 0.15, "brand": 0.15}
 HEALTH = {"technical": 0.22, "content": 0.23, "onpage": 0.20, "schema": 0.10, "performance": 0.10, "answer_ready": 0.10, "images": 0.05}
 BRAND = {"video": 0.25, "forum": 0.25, "encyclopedia": 0.20, "network": 0.15, "other": 0.15}
+BLOCKS = {"answer": 0.30, "self_contained": 0.25, "structure": 0.20, "statistics": 0.15, "uniqueness": 0.10}
+PRODUCT_PAGE = {"schema": 0.25, "title": 0.15, "images": 0.20, "content": 0.20, "links": 0.10, "technical": 0.10}
+LOCAL = {"profile": 0.25, "reviews": 0.20, "onpage": 0.20, "citations": 0.15, "schema": 0.10, "authority": 0.10}
+TECHNICAL = {"crawling": 0.15, "indexing": 0.12, "security": 0.10, "urls": 0.08, "mobile": 0.10, "vitals": 0.15, "server_rendering": 0.15, "speed": 0.15}
 BRAND_BANDS = ((85, "dominant"), (70, "strong"), (50, "moderate"), (30, "weak"), (0, "minimal"))
 
 

@@ -15,6 +15,9 @@ TEXTUAL = ("p", "ul", "ol", "table", "blockquote")
 #: Elements whose whole content no block holds.
 NOT_BLOCK = ("script", "style", "nav", "footer", "header", "aside", "form", "noscript")
 
+#: Attributes of images that are kept, besides those of data-.
+IMAGE_ATTRIBUTES = ("alt", "width", "height", "loading", "class")
+
 ELEMENTS = "url string, pos int, kind string, name string, value string, extra map<string,string>"
 BLOCKS = "url string, pos int, heading string, content string, word_count int"
 
@@ -35,7 +38,7 @@ class _Walk(HTMLParser):
         if tag in SKIPPED:
             self.skip += 1
         elif tag == "img":
-            self.rows.append(("image", "img", a.get("src"), {k: v for k, v in a.items() if k in ("alt", "width", "height", "loading", "class", "data-src")}))
+            self.rows.append(("image", "img", a.get("src"), {k: v for k, v in a.items() if k in IMAGE_ATTRIBUTES or k.startswith("data-")}))
         elif tag == "meta" and (a.get("name") or a.get("property")):
             self.rows.append(("meta", (a.get("name") or a["property"]).lower(), a.get("content"), {}))
         elif tag == "link" and "rel" in a:

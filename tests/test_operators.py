@@ -278,3 +278,35 @@ def test_claims_own_their_characters_and_windows_are_bytes(spark):
     wide = "é" * 120
     assert claims.cited_near(f"[1] {wide} 40%", len(f"[1] {wide} ")) is None  # 241 bytes before, 125 characters
     assert claims.cited_near(f"[1] {wide[:90]} 40%", len(f"[1] {wide[:90]} ")) == "[1]"
+
+
+def test_audit_functions_at_their_edges(spark):
+    from sightline.operators import audits
+
+    images = [({"loading": "Lazy", "data-src": "x"}, "native"), ({"class": "a lazyload-eio lazy"}, "ewww"), ({"data-src": ""}, "none"), ({"class": "perfmatters-lazy", "data-eio": "1"}, "perfmatters"), ({"data-srcset": "a"}, "js-generic"), ({}, "none"), (None, "none")]
+    got = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(images)], "i int, a map<string,string>").select("i", audits.lazy_method(F.col("a")).alias("m"), audits.security_headers(F.col("a")).alias("h")).orderBy("i").collect()
+    assert [r.m for r in got] == [m for _, m in images]
+    assert all(set(r.h) == set(audits.SECURITY_HEADERS) and set(r.h.values()) == {None} for r in got)
+    heads = ["ab", " 12,000+ ", "1.5 %", "1st", "Four", "12 x", "- - - -", None]
+    got = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, h string").select("i", audits.suspicious(F.col("h")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == [True, True, True, True, False, False, False, None]
+    one = spark.createDataFrame([(None, None), ("# A b \n# c\n 7/100", "Home – x"), ("x# y\n107/1000 a8/100", "- z")], "md string, t string")
+    got = one.select(audits.first_heading(F.col("md")).alias("h"), audits.report_score(F.col("md")).alias("s"), audits.site_name(F.col("t"), F.lit("host")).alias("n"), audits.geo_target(F.col("t")).alias("g")).collect()
+    assert [(r.h, r.s, r.n) for r in got] == [(None, None, "host"), ("A b", 7, "Home – x"), (None, None, "host")]
+    assert {r.g for r in got} == {"geoTargetConstants/2840"}
+    row = spark.range(1).select(audits.redacted(F.lit("a?key=1&b=2&key=3 AIzaXy-_0.")).alias("r"), audits.humanized(F.lit("first-seen_at")).alias("k"), audits.section_of(F.lit("/help/products")).alias("s")).first()
+    assert (row.r, row.k, row.s) == ("a?key=REDACTED&b=2&key=REDACTED GOOGLE_API_KEY_REDACTED.", "First seen at", "Products & Services")
+
+
+def test_preload_and_landmarks_of_empty_and_odd_pages(spark):
+    from sightline.operators import audits
+
+    rows = [(1, None, None), (2, "<script type='speculationrules'>{broken</script><h1> <b></b></h1><!-- <nav> --><DIV ROLE=search></DIV><video fetchpriority='HIGH'>", {"cache-control": "no-store"}), (2, "", {})]
+    pages = spark.createDataFrame(rows, "page_id long, html string, headers map<string,string>")
+    got = audits.preload_audit(pages).orderBy("score").collect()
+    assert [r.score for r in got] == [50, 50, 75] and got[2].rule_blocks == 1 and got[2].actions == [] and got[2].advice == ["kept for the way back"]
+    outline = audits.landmark_outline(pages).orderBy("page_id", F.size("landmarks").desc()).collect()
+    assert [(r.landmarks, r.h1s, r.issues) for r in outline] == [([], 0, ["no main landmark", "no H1"]), (["role=search"], 0, ["no main landmark", "no H1"]), ([], 0, ["no main landmark", "no H1"])]
+    assert audits.preload_audit(pages.limit(0)).count() == 0
+    events = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, "a"), (1, 4, "a"), (1, 5, None), (2, 1, "a")], "u int, t int, v string")
+    assert sorted((r.u, r.t) for r in audits.without_adjacent_repeats(events, ["u"], ["t"], "v").collect()) == [(1, 1), (1, 3), (1, 5), (2, 1)]
