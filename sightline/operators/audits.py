@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import text as tx
+from sightline.operators import markup
+from sightline.operators import pages as pg
 
 # Response headers of a technical audit.
 SECURITY_HEADERS = ("strict-transport-security", "content-security-policy", "x-frame-options", "x-content-type-options", "referrer-policy", "permissions-policy")
@@ -181,3 +183,78 @@ def image_methods(elements: DataFrame) -> DataFrame:
     """elements (of markup.elements) -> images as rules.image_scores takes them, with their lazy_method."""
     a = F.col("extra")
     return elements.where("kind = 'image'").select(F.col("url").alias("page_url"), "pos", F.col("value").alias("src"), a["alt"].alias("alt"), a["width"].alias("width"), a["height"].alias("height"), lazy_method(a).alias("lazy_method"))
+
+
+# Wording of discontinued business-profile features.
+PROFILE_CHAT = r"(?i)\bmessage\s+us\s+(?:on|via|through)\s+google\b|\bchat\s+(?:on|via|with)\s+google\s+(?:business|maps)\b|\bgoogle\s+business\s+chat\b|\bgoogle[-\s]?business[-\s]?messages?\b"
+PROFILE_SITE = r"""(?i)https?://[^/\s"']+\.business\.site(?:/[^\s"']*)?"""
+# Checks of agent readability and their points.
+AGENT_CHECKS = {"server-rendered-content": 25, "title": 10, "meta-description": 10, "single-h1": 10, "structured-data": 15, "main-landmark": 10, "image-alt": 10, "internal-links": 10}
+# Words that show what a searcher wants, the more decided one first.
+INTENTS = (("navigational", ("login",)), ("transactional", ("buy", "price", "discount", "coupon", "order", "sign up")), ("commercial", ("best", "top", "review", "comparison", "vs", "alternative")), ("informational", ("how", "what", "why", "guide", "tutorial", "learn")))
+
+
+def profile_findings(pages: DataFrame) -> DataFrame:
+    """pages(page_id, html) -> page_id, severity, feature, match: each different wording of a discontinued feature once."""
+    hits = lambda pattern: F.array_sort(F.array_distinct(F.regexp_extract_all(tx.text_or_empty(F.col("html")), F.lit(pattern), F.lit(0))))
+    of = lambda pattern, severity, feature, most: F.transform(hits(pattern), lambda m: F.struct(F.lit(severity).alias("severity"), F.lit(feature).alias("feature"), F.substring(m, 1, most).alias("match")))
+    found = F.concat(of(PROFILE_CHAT, "Critical", "gbp-chat", 200), of(PROFILE_SITE, "Medium", "business-site-url", 1 << 20))
+    return pages.select("page_id", F.explode(found).alias("x")).select("page_id", "x.*")
+
+
+def agent_readability(pages: DataFrame) -> DataFrame:
+    """pages(page_id unique, url, html) -> page_id, words, failed (names of AGENT_CHECKS), score and passes (70 or more).
+
+    A page is rendered by its server unless it has under 200 words and a framework's root with under 50 characters.
+    """
+    keyed = pages.select(F.col("page_id").cast("string").alias("url"), "html")
+    empty = markup.framework_roots(keyed).where("characters < 50").groupBy("url").agg(F.count(F.lit(1)).alias("empty_roots"))
+    is_kind = lambda kind, name: (F.col("kind") == kind) & (F.col("name") == name)
+    facts = markup.elements(keyed).groupBy("url").agg(
+        F.count_if((F.col("kind") == "title") & (F.trim("value") != "")).alias("titles"),
+        F.max(F.when(is_kind("meta", "description"), F.octet_length(F.trim("value")))).alias("description"),
+        F.count_if(is_kind("heading", "h1")).alias("h1s"),
+        F.count_if((F.col("kind") == "image") & F.col("extra")["alt"].isNull()).alias("without_alt"),
+    )
+    internal = pg.links(pages).where("is_internal").groupBy(F.col("page_id").cast("string").alias("url")).agg(F.count(F.lit(1)).alias("internal"))
+    made = pages.select("page_id", F.col("page_id").cast("string").alias("url"), tx.word_count(pg.visible(F.col("html"))).alias("words"), tx.text_or_empty(F.col("html")).alias("h"))
+    made = made.select("page_id", "url", "words", (F.contains("h", F.lit("<main")) | F.contains("h", F.lit('role="main"'))).alias("main"), F.col("h").rlike(r"""(?i)<script[^>]*\btype\s*=\s*["']?application/ld\+json""").alias("data"))
+    for other in (empty, facts, internal):
+        made = made.join(other, "url", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    passed = (F.col("words") >= 200, n("titles") > 0, n("description") >= 50, n("h1s") == 1, F.col("data"), F.col("main"), n("without_alt") == 0, n("internal") > 0)
+    failed = F.filter(F.array(*[F.when(~ok, name) for name, ok in zip(AGENT_CHECKS, passed)]), lambda x: x.isNotNull())
+    score = sum((F.when(ok, p).otherwise(0) for p, ok in zip(AGENT_CHECKS.values(), passed)), F.lit(0))
+    shell = (F.col("words") < 200) & (n("empty_roots") > 0)
+    return made.select("page_id", "words", shell.alias("client_only"), failed.alias("failed"), score.alias("score"), (score >= 70).alias("passes"))
+
+
+def intent(keyword: Column) -> Column:
+    """What a keyword's words show: navigational ones are not for clusters; null if none of the known words stands in it."""
+    spaced = F.concat(F.lit(" "), F.lower(F.regexp_replace(tx.text_or_empty(keyword), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    out = F.lit(None).cast("string")
+    for name, words in reversed(INTENTS):
+        out = F.when(spaced.rlike(" (?:" + "|".join(words) + ") "), name).otherwise(out)
+    return out
+
+
+def graph_rows(lines: DataFrame, reversed_host: str) -> DataFrame:
+    """lines(value) of a web-graph file, of which a field is the reversed host or ends with a dot and it: all of them."""
+    fields = F.split("value", "\t")
+    return lines.withColumn("fields", fields).where(F.exists("fields", lambda f: (f == reversed_host) | f.endswith("." + reversed_host)))
+
+
+def within_radius(places: DataFrame, others: DataFrame, km: float) -> DataFrame:
+    """places(place, lat, lng) and others(other, lat, lng) -> place, other, km: pairs within a radius, by a grid of cells.
+
+    Cells are km high and wide; each place looks into the nine around it, so no pair is compared that lies farther off.
+    Cells are as wide as a radius at 80 degrees of latitude; places beyond it, and pairs across the date line, have no row.
+    """
+    high, wide = km / 110.5, km / (111.3 * 0.1736)
+    cell = lambda c, size: F.floor(F.col(c) / size)
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    a = places.where("abs(lat) <= 80").withColumn("i", F.explode(F.transform(around, lambda d: cell("lat", high) + d))).withColumn("j", F.explode(F.transform(around, lambda d: cell("lng", wide) + d)))
+    b = others.where("abs(lat) <= 80").select("other", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), cell("lat", high).alias("i"), cell("lng", wide).alias("j"))
+    x = F.pow(F.sin(F.radians(F.col("lat2") - F.col("lat")) / 2), 2) + F.cos(F.radians("lat")) * F.cos(F.radians("lat2")) * F.pow(F.sin(F.radians(F.col("lng2") - F.col("lng")) / 2), 2)
+    near = a.join(b, ["i", "j"]).select("place", "other", (F.asin(F.sqrt(F.least(x, F.lit(1.0)))) * 2 * 6371.0).alias("km"))
+    return near.where(F.col("km") <= km).withColumn("km", tx.half_up(F.col("km"), 3))

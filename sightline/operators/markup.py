@@ -122,3 +122,51 @@ def blocks(pages: DataFrame, least: int = 20) -> DataFrame:
             yield pd.DataFrame(rows, columns=["url", "pos", "heading", "content", "word_count"])
 
     return pages.select("url", "html").mapInPandas(walk, BLOCKS)
+
+
+#: What the id of a client-side framework's root holds, and elements without an end tag.
+ROOT_IDS = ("app", "root", "__next", "__nuxt")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
+class _Roots(HTMLParser):
+    """Ids like those of ROOT_IDS in document order, each with the text within its element."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, list[str]]] = []
+        self.open: list[tuple[str, list[str] | None]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        name = (dict(attrs).get("id") or "").lower()
+        parts: list[str] | None = [] if any(r in name for r in ROOT_IDS) else None
+        if parts is not None:
+            self.found.append((name, parts))
+        if tag not in VOID:
+            self.open.append((tag, parts))
+
+    def handle_endtag(self, tag: str) -> None:
+        at = max((i for i, o in enumerate(self.open) if o[0] == tag), default=None)
+        if at is not None:  # an end tag without a start is passed over
+            del self.open[at:]
+
+    def handle_data(self, data: str) -> None:
+        for _, parts in self.open:
+            if parts is not None:
+                parts.append(data)
+
+
+def framework_roots(pages: DataFrame) -> DataFrame:
+    """pages(url, html) -> (url, pos, id, characters): elements that frameworks render into, and how long their text is."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for u, h in zip(pdf["url"], pdf["html"]):
+                roots = _Roots()
+                roots.feed(h or "")
+                roots.close()
+                rows += [(u, i, name, len("".join(parts).strip())) for i, (name, parts) in enumerate(roots.found)]
+            yield pd.DataFrame(rows, columns=["url", "pos", "id", "characters"])
+
+    return pages.select("url", "html").mapInPandas(walk, "url string, pos int, id string, characters int")

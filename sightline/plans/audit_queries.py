@@ -178,3 +178,44 @@ def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = markets.weighted(parts, weights).select("c_custkey", F.lit(name).alias("kind"), "score")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("""select page_id, unnest(case page_id % 4 when 0 then ['Critical'] when 1 then ['Critical', 'Medium'] when 2 then ['Medium'] else [] end) as severity,
+ unnest(case page_id % 4 when 0 then ['Google-Business Message'] when 1 then ['chat with google maps', 'https://a.business.site'] when 2 then ['http://b.business.site/x'] else [] end) as match from pages""")
+def discontinued_profile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    added = F.when(k == 0, " Google-Business Message; Google-Business Message").when(k == 1, ' chat with google maps <a href="https://a.business.site">').when(k == 2, " http://b.business.site/x Message us").otherwise(" chat with us")
+    return audits.profile_findings(_pages(spark, sf_dir).select("page_id", F.concat("html", added).alias("html"))).select("page_id", "severity", "match")
+
+
+@query("""with p as (select page_id, len(regexp_extract_all(html, '(?i)<h1[\\s>]')) as own from pages)
+select page_id, page_id % 2 = 0 as has_main, page_id % 3 = 0 as has_data, page_id % 5 <> 0 as has_alt, page_id % 7 = 0 as has_description, own + (page_id % 11 = 0)::int = 1 as one_h1 from p""")
+def agent_readability_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    parts = [_where(k % 2 == 0, '<main id="App">x</main>'), _where(k % 3 == 0, '<script type="application/ld+json">{}</script>'), _where(k % 5 == 0, '<img src="a">'), _where(k % 7 == 0, f'<meta name="Description" content="{"word " * 12}">'), _where(k % 11 == 0, "<h1>again</h1>")]
+    out = audits.agent_readability(_pages(spark, sf_dir).select("page_id", "url", F.concat("html", *parts).alias("html")))
+    ok = lambda name: ~F.array_contains("failed", name)
+    return out.select("page_id", ok("main-landmark").alias("has_main"), ok("structured-data").alias("has_data"), ok("image-alt").alias("has_alt"), ok("meta-description").alias("has_description"), ok("single-h1").alias("one_h1"))
+
+
+@query("""select p_partkey, ['transactional', 'commercial', 'informational', 'navigational', null, 'transactional'][p_partkey % 6 + 1] as intent from part""")
+def keyword_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("p_partkey") % 6 + 1).cast("int")
+    cues = F.array(*[F.lit(c) for c in ("Sign-up", "A vs. B", "how", "the login", "bestow laptops", "best price")])
+    return table(spark, sf_dir, "part").select("p_partkey", audits.intent(F.concat_ws(" ", F.element_at(cues, k), F.col("p_brand"))).alias("intent"))
+
+
+@query("""with c as (select c_custkey as k, c_custkey % 97 * 0.01 as lat, c_custkey % 89 * 0.01 as lng from customer), s as (select s_suppkey as k, s_suppkey % 83 * 0.01 as lat, s_suppkey % 79 * 0.01 as lng from supplier),
+d as (select s.k as place, c.k as other, 2 * 6371.0 * asin(sqrt(power(sin(radians(c.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(c.lat)) * power(sin(radians(c.lng - s.lng) / 2), 2))) as km from s, c)
+select place, count(*) as competitors, round(min(km), 3) as nearest from d where km <= 3 group by 1""")
+def competitors_in_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k, a, b: (((F.col(k) % a) * 0.01).alias("lat"), ((F.col(k) % b) * 0.01).alias("lng"))
+    places = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place"), *at("s_suppkey", 83, 79))
+    others = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("other"), *at("c_custkey", 97, 89))
+    return audits.within_radius(places, others, 3.0).groupBy("place").agg(F.count(F.lit(1)).alias("competitors"), F.min("km").alias("nearest"))
+
+
+@query("select page_id from pages where regexp_matches(url, '^[a-z]+://([^/?#:@]+\\.)?example\\.com([:/?#]|$)')")
+def web_graph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _pages(spark, sf_dir).select("page_id", F.concat_ws("\t", F.lit("7"), F.lower(ux.host(F.col("url")))).alias("value"))
+    return audits.graph_rows(lines, "example.com").select("page_id")

@@ -310,3 +310,26 @@ def test_preload_and_landmarks_of_empty_and_odd_pages(spark):
     assert audits.preload_audit(pages.limit(0)).count() == 0
     events = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, "a"), (1, 4, "a"), (1, 5, None), (2, 1, "a")], "u int, t int, v string")
     assert sorted((r.u, r.t) for r in audits.without_adjacent_repeats(events, ["u"], ["t"], "v").collect()) == [(1, 1), (1, 3), (1, 5), (2, 1)]
+
+
+def test_framework_roots_intents_and_radius(spark):
+    import math
+
+    from sightline.operators import audits
+
+    pages = spark.createDataFrame([(1, "https://a.example/", '<div id="Root"><p>' + "x" * 60 + "</p></div><p id=app-x></b><br> y </p>"), (2, "https://a.example/b", None), (3, "https://a.example/c", "<div id=__next>")], "page_id long, url string, html string")
+    assert sorted((r.url, r.pos, r.id, r.characters) for r in markup.framework_roots(pages).collect()) == [("https://a.example/", 0, "root", 60), ("https://a.example/", 1, "app-x", 1), ("https://a.example/c", 0, "__next", 0)]
+    got = audits.agent_readability(pages).orderBy("page_id").collect()
+    assert [r.client_only for r in got] == [True, False, True] and got[1].score == 10 and got[1].words == 0 and audits.agent_readability(pages.limit(0)).count() == 0
+    words = spark.createDataFrame([("Log in, LOGIN to buy",), ("price-list",), ("topology",), (None,)], "k string").select(audits.intent(F.col("k")).alias("i")).collect()
+    assert [r.i for r in words] == ["navigational", "transactional", None, None]
+    spots = [(i, (i * 37 % 100) * 0.4 - 20, (i * 61 % 100) * 0.5 - 25) for i in range(60)] + [(99, 85.0, 1.0), (98, None, 2.0)]
+    a = spark.createDataFrame(spots, "place int, lat double, lng double")
+    b = a.withColumnRenamed("place", "other")
+
+    def km(p, q):
+        x = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(x))
+
+    want = {(p[0], q[0]) for p in spots[:60] for q in spots[:60] if km(p, q) <= 300}
+    assert len(want) > 60 and {(r.place, r.other) for r in audits.within_radius(a, b, 300.0).collect()} == want
