@@ -331,5 +331,5 @@ def test_framework_roots_intents_and_radius(spark):
         x = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
         return 2 * 6371.0 * math.asin(math.sqrt(x))
 
-    want = {(p[0], q[0]) for p in spots[:60] for q in spots[:60] if km(p, q) <= 300}
-    assert len(want) > 60 and {(r.place, r.other) for r in audits.within_radius(a, b, 300.0).collect()} == want
+    want = {(p[0], q[0]) for p in spots[:60] for q in spots[:60] if km(p, q) <= 800}
+    assert len(want) > 60 and {(r.place, r.other) for r in audits.within_radius(a, b, 800.0).collect()} == want
