@@ -1,11 +1,11 @@
-"""The queries of the ten operators over their whole tables, and their SQL where SQL can express them."""
+"""The queries of the thirteen operators over their whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bagminhash, bpe, chat, compact_windows, decontamination, langid, licenses, quality_lm, quality_rules, toxicity
+from sightline.llm import bagminhash, bpe, centroids, chat, compact_windows, decontamination, hard_negatives, langid, licenses, quality_lm, quality_rules, simhash, toxicity
 
 #: Vocabulary of op4 and of the pipeline's last stage.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -68,7 +68,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, _read(spark, sf_dir, "labels")).drop("text", "lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_quality_classifier, op4_byte_bpe, op5_language_id, op6_license_scan, op7_chat_preference, op8_minhash_near_dedup, op9_toxicity, op10_quality_rules)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(_read(spark, sf_dir, "embeddings").withColumn("label", noisy), F.col("vec_id") % 50 == 0)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.inertias(*centroids.clustered(_read(spark, sf_dir, "embeddings")))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_quality_classifier, op4_byte_bpe, op5_language_id, op6_license_scan, op7_chat_preference, op8_minhash_near_dedup, op9_toxicity, op10_quality_rules, op11_hard_negatives, op12_centroid_clustering, op13_simhash_near_dedup)}
+
+_KEPT = """select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
+  where {where} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
+
+
+def _rounds(n: int) -> str:
+    """The rounds of op12, each one's assignment and its centroids as tables of their own."""
+    nearest = "select vec_id, v, arg_min(k, (d, k)) cluster, min(d) distance from (select vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) d from kept, c{i}) group by vec_id, v"
+    floor = "cast((s - ((s % n) + n) % n) // n as bigint)"
+    out = []
+    for i in range(n + 1):
+        out.append(f"a{i} as materialized ({nearest.format(i=i)})")
+        if i < n:
+            means = f"select cluster k, list(m order by i) c from (select cluster, i, {floor} m from (select cluster, i, sum(x) s, count(*) n from (select cluster, unnest(v) x, unnest(range(len(v))) i from a{i}) group by 1, 2)) group by 1"
+            out.append(f"c{i + 1} as materialized (with m as ({means}) select k, coalesce(m.c, c{i}.c) c from c{i} left join m using (k))")
+    return ",\n".join(out)
+
 
 ORACLE_SQL = {
     "op1_benchmark_decontamination": """
@@ -94,4 +124,21 @@ s as (select pair_id, side, coalesce(string_agg(head || body, '' order by i) fil
 select c.pair_id, cast(n_chosen as int) n_chosen, cast(n_rejected as int) n_rejected, cast(n_common as int) n_common, coalesce(x.prompt, y.prompt) prompt,
   coalesce(x.done, '') chosen, coalesce(y.done, '') rejected, coalesce(x.spans, '') chosen_spans, coalesce(y.spans, '') rejected_spans
 from c left join s x on x.pair_id = c.pair_id and x.side = 0 left join s y on y.pair_id = c.pair_id and y.side = 1""",
+    "op11_hard_negatives": f"""
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, v
+  from ({_KEPT.format(where="embedding is not null and label is not null").replace("select vec_id,", "select vec_id, label,")})),
+s as materialized (select a.vec_id a, b.vec_id b, a.label = b.label same, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) as bigint) s
+  from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select a, b, s from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
+n as (select p.a, p.b p, p.s ps, s.b n, s.s ns, row_number() over (partition by p.a, p.b order by s.s desc, s.b) r
+  from p join s on p.a = s.a and not s.same and 50 * p.s <= 100 * s.s and 100 * s.s <= 95 * p.s)
+select a anchor_id, p positive_id, cast(r as int) rank, n negative_id, ps positive_score, ns negative_score from n where r <= 3""",
+    "op12_centroid_clustering": f"""
+with kept as materialized ({_KEPT.format(where="len(embedding) = 64")}),
+c0 as (select row_number() over (order by sha256('2:' || vec_id)) - 1 k, v c from kept order by sha256('2:' || vec_id) limit 40),
+{_rounds(5)},
+t as (select cluster, sum(distance) n from a5 group by 1)
+select vec_id, cast(cluster as int) cluster, cast(distance as bigint) distance, cast(t.n as bigint) cluster_inertia,
+  cast((select sum(distance) from a5) as bigint) inertia, sha256(array_to_string(c5.c, ',')) centroid_sha256
+from a5 join t using (cluster) join c5 on c5.k = a5.cluster""",
 }

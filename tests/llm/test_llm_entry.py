@@ -10,7 +10,7 @@ from sightline.llm import queries
 def test_sql(spark, name):
     folder = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, folder).toPandas()
