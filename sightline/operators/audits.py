@@ -60,6 +60,10 @@ def security_headers(headers: Column) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(h) for h in SECURITY_HEADERS]), F.array(*[F.coalesce(headers, F.create_map().cast("map<string,string>"))[h] for h in SECURITY_HEADERS]))
 
 
+#: A tag up to its end; a > within a quoted value doesn't end it. Runs are possessive: a long tag costs no stack.
+TAG = r"""(?i)<[a-z][a-z0-9]*+(?:\s[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)?>"""
+
+
 def landmark_outline(pages: DataFrame) -> DataFrame:
     """pages(page_id, html) -> page_id, landmarks (tag names, or role= for other elements, in document order), h1s, issues.
 
@@ -68,7 +72,7 @@ def landmark_outline(pages: DataFrame) -> DataFrame:
     """
     html = tx.text_or_empty(F.col("html"))
     bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    tags = F.regexp_extract_all(bare, F.lit(r"""(?i)<([a-z][a-z0-9]*)((?:\s(?:[^>"']|"[^"]*"|'[^']*')*)?)>"""), F.lit(0))
+    tags = F.regexp_extract_all(bare, F.lit(TAG), F.lit(0))
     name = lambda t: F.lower(F.regexp_extract(t, r"^<([A-Za-z0-9]+)", 1))
     role = lambda t: F.regexp_extract(t, r"""(?i)\srole\s*=\s*["']?([^\s"'>]+)""", 1)
     found = F.transform(tags, lambda t: F.when(name(t).isin(*LANDMARKS), name(t)).when(role(t).isin(*ROLES), F.concat(F.lit("role="), role(t))))
@@ -202,6 +206,10 @@ def profile_findings(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(found).alias("x")).select("page_id", "x.*")
 
 
+#: What stands in a script of structured data.
+JSONLD = r"""(?is)<script[^>]*\btype\s*=\s*["']?application/ld\+json[^>]*>(.*?)</script\s*>"""
+
+
 def agent_readability(pages: DataFrame) -> DataFrame:
     """pages(page_id unique, url, html) -> page_id, words, failed (names of AGENT_CHECKS), score and passes (70 or more).
 
@@ -218,7 +226,7 @@ def agent_readability(pages: DataFrame) -> DataFrame:
     )
     internal = pg.links(pages).where("is_internal").groupBy(F.col("page_id").cast("string").alias("url")).agg(F.count(F.lit(1)).alias("internal"))
     made = pages.select("page_id", F.col("page_id").cast("string").alias("url"), tx.word_count(pg.visible(F.col("html"))).alias("words"), tx.text_or_empty(F.col("html")).alias("h"))
-    made = made.select("page_id", "url", "words", (F.contains("h", F.lit("<main")) | F.contains("h", F.lit('role="main"'))).alias("main"), F.col("h").rlike(r"""(?i)<script[^>]*\btype\s*=\s*["']?application/ld\+json""").alias("data"))
+    made = made.select("page_id", "url", "words", (F.contains("h", F.lit("<main")) | F.contains("h", F.lit('role="main"'))).alias("main"), F.exists(F.regexp_extract_all("h", F.lit(JSONLD), F.lit(1)), lambda t: F.try_parse_json(F.trim(t)).isNotNull()).alias("data"))
     for other in (empty, facts, internal):
         made = made.join(other, "url", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -15,8 +15,10 @@ from sightline.functions import urls as ux
 NOT_PROSE = ("script", "style", "nav", "footer", "header", "noscript", "template")
 #: Entities that are decoded in visible text.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"))
-#: A link: its href in double, single or no quotes, and what stands up to its end or the next link.
-LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>((?:[^<]+|<(?:[^a/]|a[^\s>]|/[^a]|/a[^\s>]))*)"""
+#: Where the tag of a link begins; its href in double, single or no quotes, up to the tag's end; and what ends its anchor.
+#: Each is a single pass over characters: nothing here repeats a group, which would cost stack for each tag that follows.
+LINK_START, LINK_END = r"(?i)<a(?=\s)", r"(?i)</?a(?=[\s>])"
+LINK_TAG = r"""(?i)^\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>"""
 
 
 def stripped(html: Column) -> Column:
@@ -43,6 +45,11 @@ def element_text(html: Column, tag: str) -> Column:
     return F.when(html.rlike(rf"(?i)<{tag}[\s>]"), text)
 
 
+def link_tags(html: Column) -> Column:
+    """What follows each "<a " that has an href, up to the next one: the rest of the tag, the anchor and what comes after."""
+    return F.filter(F.slice(F.split(tx.text_or_empty(html), LINK_START), 2, 1 << 30), lambda t: t.rlike(LINK_TAG))
+
+
 def outline(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> title, h1, words, links, paragraphs, scripts, is_spa: one row for each page.
 
@@ -51,7 +58,7 @@ def outline(pages: DataFrame) -> DataFrame:
     html = F.col("html")
     count = lambda pattern: tx.matches(html, pattern)
     words = tx.word_count(visible(html))
-    made = pages.select("page_id", "url", element_text(html, "title").alias("title"), element_text(html, "h1").alias("h1"), words.alias("words"), count(LINK).alias("links"), count(r"(?i)<p[\s>]").alias("paragraphs"), count(r"(?i)<script").alias("scripts"))
+    made = pages.select("page_id", "url", element_text(html, "title").alias("title"), element_text(html, "h1").alias("h1"), words.alias("words"), F.size(link_tags(html)).alias("links"), count(r"(?i)<p[\s>]").alias("paragraphs"), count(r"(?i)<script").alias("scripts"))
     return made.withColumn("is_spa", (F.col("words") < 100) & (F.col("scripts") >= 3))
 
 
@@ -82,10 +89,11 @@ def links(pages: DataFrame) -> DataFrame:
     Empty, fragment-only and javascript: links are left out; relative ones are resolved against the page's address;
     anchors are the text within the link, markup left out, of 100 characters at most. Null html has no links.
     """
-    group = lambda n: F.regexp_extract_all("html", F.lit(LINK), F.lit(n))
-    rows = pages.select("page_id", "url", F.posexplode(F.arrays_zip(group(1).alias("d"), group(2).alias("s"), group(3).alias("n"), group(4).alias("anchor"))).alias("pos", "l"))
-    anchor = tx.collapsed(F.regexp_replace("l.anchor", r"<[^>]*>", " "))
-    rows = rows.select("page_id", "url", "pos", F.trim(F.concat("l.d", "l.s", "l.n")).alias("href"), F.substring(anchor, 1, 100).alias("anchor"))
+    rows = pages.select("page_id", "url", F.posexplode(link_tags(F.col("html"))).alias("pos", "l"))
+    href = F.concat(*[F.regexp_extract("l", LINK_TAG, n) for n in (1, 2, 3)])
+    body = F.regexp_replace(F.split(F.regexp_replace("l", LINK_TAG, ""), LINK_END, 2)[0], r"(?i)</?a?$", "")
+    anchor = tx.collapsed(F.regexp_replace(body, r"<[^>]*>", " "))
+    rows = rows.select("page_id", "url", "pos", F.trim(href).alias("href"), F.substring(anchor, 1, 100).alias("anchor"))
     rows = rows.where("href <> '' and not startswith(href, '#') and not startswith(lower(href), 'javascript:')")
     rows = rows.withColumn("target", resolved(F.col("href"), F.col("url")))
     return rows.select("page_id", "pos", "href", "anchor", "target", (ux.host(F.col("target")) == ux.host(F.col("url"))).alias("is_internal"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import urls as ux
 from sightline.operators import audits, markets, markup, rules
+from sightline.plans.page_queries import _LINKS, _WORDS
 from sightline.registry import query, table
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,14 +189,25 @@ def discontinued_profile_features(spark: SparkSession, sf_dir: str) -> DataFrame
     return audits.profile_findings(_pages(spark, sf_dir).select("page_id", F.concat("html", added).alias("html"))).select("page_id", "severity", "match")
 
 
-@query("""with p as (select page_id, len(regexp_extract_all(html, '(?i)<h1[\\s>]')) as own from pages)
-select page_id, page_id % 2 = 0 as has_main, page_id % 3 = 0 as has_data, page_id % 5 <> 0 as has_alt, page_id % 7 = 0 as has_description, own + (page_id % 11 = 0)::int = 1 as one_h1 from p""")
+_AGENT = """select page_id, url, html || if(page_id % 2 = 0, '<main id="App">x</main>', '') || if(page_id % 3 = 0, '<script type="application/ld+json">' || if(page_id % 9 = 0, '{not json', '{}') || '</script>', '')
+ || if(page_id % 5 = 0, '<img src="a">', '') || if(page_id % 7 = 0, '<meta name="Description" content="' || repeat('word ', 12) || '">', '') || if(page_id % 11 = 0, '<h1>again</h1>', '') as html from pages"""
+
+
+@query(f"""{_LINKS.replace("with c as", f"with q as materialized ({_AGENT}), c as", 1).replace("x from pages)", "x from q)")},
+i as (select distinct page_id from g where is_internal),
+t as (select page_id, {_WORDS} as words, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) <> '' as has_title, regexp_matches(html, '(?i)<meta name="description" content="[^"]{{50,}}"') as has_description,
+ len(regexp_extract_all(html, '(?i)<h1[\\s>]')) = 1 as one_h1, len(list_filter(regexp_extract_all(html, '(?is)<script type="application/ld.json">(.*?)</script', 1), lambda x: json_valid(x))) > 0 as has_data,
+ contains(html, '<main') as has_main, not regexp_matches(html, '<img src="a">') as has_alt, page_id in (select page_id from i) as has_links from q),
+u as (select *, 25 * (words >= 200)::int + 10 * (has_title::int + has_description::int + one_h1::int + has_main::int + has_alt::int + has_links::int) + 15 * has_data::int as score from t)
+select *, score >= 70 as passes, words < 200 and page_id % 2 = 0 as client_only from u""")
 def agent_readability_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
-    parts = [_where(k % 2 == 0, '<main id="App">x</main>'), _where(k % 3 == 0, '<script type="application/ld+json">{}</script>'), _where(k % 5 == 0, '<img src="a">'), _where(k % 7 == 0, f'<meta name="Description" content="{"word " * 12}">'), _where(k % 11 == 0, "<h1>again</h1>")]
+    data = F.when(k % 9 == 0, '<script type="application/ld+json">{not json</script>').when(k % 3 == 0, '<script type="application/ld+json">{}</script>').otherwise("")
+    parts = [_where(k % 2 == 0, '<main id="App">x</main>'), data, _where(k % 5 == 0, '<img src="a">'), _where(k % 7 == 0, f'<meta name="Description" content="{"word " * 12}">'), _where(k % 11 == 0, "<h1>again</h1>")]
     out = audits.agent_readability(_pages(spark, sf_dir).select("page_id", "url", F.concat("html", *parts).alias("html")))
-    ok = lambda name: ~F.array_contains("failed", name)
-    return out.select("page_id", ok("main-landmark").alias("has_main"), ok("structured-data").alias("has_data"), ok("image-alt").alias("has_alt"), ok("meta-description").alias("has_description"), ok("single-h1").alias("one_h1"))
+    names = {"title": "has_title", "meta-description": "has_description", "single-h1": "one_h1", "structured-data": "has_data", "main-landmark": "has_main", "image-alt": "has_alt", "internal-links": "has_links"}
+    return out.select("page_id", "words", *[(~F.array_contains("failed", name)).alias(c) for name, c in names.items()], "score", "passes", "client_only")
+
 
 
 @query("""select p_partkey, ['transactional', 'commercial', 'informational', 'navigational', null, 'transactional'][p_partkey % 6 + 1] as intent from part""")

@@ -10,6 +10,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Operators over a few rows written by hand, with the SQL of their results: tests, and no queries over tables.
+FIXTURES: dict[str, tuple[Query, str]] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -24,5 +26,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def fixture(sql: str) -> Callable[[Query], Query]:
+    """Keeps a function over rows written by hand under its own name, for the tests."""
+
+    def add(f: Query) -> Query:
+        FIXTURES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -333,3 +333,27 @@ def test_framework_roots_intents_and_radius(spark):
 
     want = {(p[0], q[0]) for p in spots[:60] for q in spots[:60] if km(p, q) <= 800}
     assert len(want) > 60 and {(r.place, r.other) for r in audits.within_radius(a, b, 800.0).collect()} == want
+
+
+def test_huge_tags_and_open_links_cost_no_stack(spark):
+    """100,000 tags after a link that isn't closed, a tag of a megabyte, and one of 100,000 quoted values."""
+    from sightline.operators import audits
+
+    links = "<a href=y>" + "<b>x</b>" * 100_000
+    rows = [(1, links), (2, "<div " + "z" * 1_000_000 + " role=main>t</div>" + links * 2), (3, "<div " + 'z="q>" ' * 100_000 + "role=navigation>t</div><a href='q'>A<i>b</i></A><a href=\"r\">c<"), (4, None)]
+    pages = spark.createDataFrame([(i, "https://a.example/", h) for i, h in rows], "page_id long, url string, html string")
+    from sightline.operators import pages as pg
+
+    got = sorted((r.page_id, r.pos, r.href, r.anchor[:5], r.target) for r in pg.links(pages).collect())
+    assert got == [(1, 0, "y", "x x x", "https://a.example/y"), (2, 0, "y", "x x x", "https://a.example/y"), (2, 1, "y", "x x x", "https://a.example/y"), (3, 0, "q", "A b", "https://a.example/q"), (3, 1, "r", "c", "https://a.example/r")]
+    assert {r.page_id: r.links for r in pg.outline(pages).collect()} == {1: 1, 2: 2, 3: 2, 4: 0}
+    assert {r.page_id: r.landmarks for r in audits.landmark_outline(pages).collect()} == {1: [], 2: ["role=main"], 3: ["role=navigation"], 4: []}
+
+
+def test_structured_data_that_is_no_json_does_not_count(spark):
+    from sightline.operators import audits
+
+    page = lambda body: f"<SCRIPT id=x TYPE='application/ld+json'>{body}</script>"
+    rows = [(1, page("{not json")), (2, page('{"a": 1}')), (3, page("{") + page(" [] ")), (4, "<script>{}</script>")]
+    pages = spark.createDataFrame([(i, "https://a.example/", h) for i, h in rows], "page_id long, url string, html string")
+    assert {r.page_id: "structured-data" in r.failed for r in audits.agent_readability(pages).collect()} == {1: True, 2: False, 3: False, 4: True}
