@@ -194,12 +194,12 @@ _AGENT = """select page_id, url, html || if(page_id % 2 = 0, '<main id="App">x</
 
 
 @query(f"""{_LINKS.replace("with c as", f"with q as materialized ({_AGENT}), c as", 1).replace("x from pages)", "x from q)")},
-i as (select distinct page_id from g where is_internal),
-t as (select page_id, {_WORDS} as words, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) <> '' as has_title, regexp_matches(html, '(?i)<meta name="description" content="[^"]{{50,}}"') as has_description,
+inner_ as (select distinct page_id from g where is_internal),
+facts as (select page_id, {_WORDS} as words, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) <> '' as has_title, regexp_matches(html, '(?i)<meta name="description" content="[^"]{{50,}}"') as has_description,
  len(regexp_extract_all(html, '(?i)<h1[\\s>]')) = 1 as one_h1, len(list_filter(regexp_extract_all(html, '(?is)<script type="application/ld.json">(.*?)</script', 1), lambda x: json_valid(x))) > 0 as has_data,
- contains(html, '<main') as has_main, not regexp_matches(html, '<img src="a">') as has_alt, page_id in (select page_id from i) as has_links from q),
-u as (select *, 25 * (words >= 200)::int + 10 * (has_title::int + has_description::int + one_h1::int + has_main::int + has_alt::int + has_links::int) + 15 * has_data::int as score from t)
-select *, score >= 70 as passes, words < 200 and page_id % 2 = 0 as client_only from u""")
+ contains(html, '<main') as has_main, not regexp_matches(html, '<img src="a">') as has_alt, page_id in (select page_id from inner_) as has_links from q),
+scored as (select *, 25 * (words >= 200)::int + 10 * (has_title::int + has_description::int + one_h1::int + has_main::int + has_alt::int + has_links::int) + 15 * has_data::int as score from facts)
+select *, score >= 70 as passes, words < 200 and page_id % 2 = 0 as client_only from scored""")
 def agent_readability_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
     data = F.when(k % 9 == 0, '<script type="application/ld+json">{not json</script>').when(k % 3 == 0, '<script type="application/ld+json">{}</script>').otherwise("")
