@@ -59,6 +59,10 @@ def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
+#: What findings compare, in a page's current and earlier state.
+COLUMNS = ("status_code", "title", "meta_description", "canonical", "robots", "h1", "h2", "schema_types", "schema_hash", "og", "html_hash", "metrics", "perf_score")
+
+
 def findings(current: DataFrame, baselines: DataFrame) -> DataFrame:
     """current and baselines (id, url and the columns below) -> (url_hash, baseline_id, rule, severity, triggered).
 
@@ -66,10 +70,22 @@ def findings(current: DataFrame, baselines: DataFrame) -> DataFrame:
     schema_hash, og map, html_hash, metrics map of p75 values, perf_score. Each current page meets the latest baseline
     of its normalized URL; pages without one give no rows.
     """
-    columns = ("status_code", "title", "meta_description", "canonical", "robots", "h1", "h2", "schema_types", "schema_hash", "og", "html_hash", "metrics", "perf_score")
-    keyed = lambda df, p, *more: df.select(ux.url_hash(F.col("url")).alias("url_hash"), *more, *[F.col(c).alias(p + c) for c in columns])
+    keyed = lambda df, p, *more: df.select(ux.url_hash(F.col("url")).alias("url_hash"), *more, *[F.col(c).alias(p + c) for c in COLUMNS])
     old = latest(keyed(baselines, "o_", "id"))
-    both = keyed(current, "n_").join(old, "url_hash")
+    return judged(keyed(current, "n_").join(old, "url_hash"))
+
+
+def replayed(snapshots: DataFrame) -> DataFrame:
+    """snapshots(id, url, COLUMNS) -> findings of each snapshot against the one before it of the same normalized URL, with
+    snapshot_id: what streaming.drift gives for them as they come in the order of their ids."""
+    rows = snapshots.select(ux.url_hash(F.col("url")).alias("url_hash"), F.col("id").alias("snapshot_id"), F.struct(F.col("id").alias("b_id"), *COLUMNS).alias("now")).where("url_hash is not null")
+    rows = rows.withColumn("old", F.lag("now").over(Window.partitionBy("url_hash").orderBy("snapshot_id"))).where("old is not null")
+    both = rows.select("url_hash", "snapshot_id", F.col("old.b_id").alias("id"), *[F.col(f"old.{c}").alias(f"o_{c}") for c in COLUMNS], *[F.col(f"now.{c}").alias(f"n_{c}") for c in COLUMNS])
+    return judged(both, "snapshot_id")
+
+
+def judged(both: DataFrame, *more: str) -> DataFrame:
+    """both(url_hash, id, o_ and n_ COLUMNS, more) -> (url_hash, baseline_id, more, rule, severity, triggered), by all rules."""
     o, n = (lambda c: F.col("o_" + c)), (lambda c: F.col("n_" + c))
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
@@ -99,7 +115,7 @@ def findings(current: DataFrame, baselines: DataFrame) -> DataFrame:
         ("content_hash_changed", "INFO", o("html_hash").isNotNull() & ~o("html_hash").eqNullSafe(n("html_hash"))),
     ]
     row = [F.struct(F.lit(name).alias("rule"), (F.lit(s) if isinstance(s, str) else s).alias("severity"), F.coalesce(t, F.lit(False)).alias("triggered")) for name, s, t in rules]
-    return both.withColumn("h1_ratio", similarity(o("h1"), n("h1"))).select("url_hash", F.col("id").alias("baseline_id"), F.inline(F.array(*row)))
+    return both.withColumn("h1_ratio", similarity(o("h1"), n("h1"))).select("url_hash", F.col("id").alias("baseline_id"), *more, F.inline(F.array(*row)))
 
 
 def severity_counts(found: DataFrame) -> DataFrame:

@@ -14,6 +14,11 @@ def replay(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def table_stream(spark: SparkSession, path: str, schema: str, **options: object) -> DataFrame:
+    """A stream of the Parquet file or folder at path, which only a pattern may name if it can be either."""
+    return spark.readStream.schema(schema).options(**options).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def counts(events: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Events and their value's sum for each window and type; tumbling without slide. Rows later than `late` go."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
