@@ -104,10 +104,16 @@ def _state_store(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def run(stream: DataFrame, path: str, checkpoint: str, timeout: int | None = None) -> None:
+def run(stream: DataFrame, path: str, checkpoint: str, clock: bool = False) -> None:
     """Writes all that has come of a stream of appended rows to a Parquet table, and ends. Started again with the same checkpoint
-    it goes on where it stopped, its state included."""
+    it goes on where it stopped, its state included. clock: the stream's state goes by the time of the clock (ttl_ms),
+    so batches never end by themselves and it is stopped when nothing new is left."""
     with _state_store(stream.sparkSession):
-        query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-        if not query.awaitTermination(timeout) if timeout else query.awaitTermination():
-            query.stop()
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        query = (writer if clock else writer.trigger(availableNow=True)).start(path)
+        if clock:
+            while query.isActive and (query.lastProgress is None or query.lastProgress["numInputRows"]):
+                query.awaitTermination(1)
+            if query.isActive:
+                query.stop()
+        query.awaitTermination()

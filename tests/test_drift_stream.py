@@ -10,6 +10,15 @@ from sightline.streaming import drift, windows
 KEYS = ["url_hash", "baseline_id", "snapshot_id", "rule", "severity", "triggered"]
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """Each partition of each micro-batch starts a worker of its own; these tables have a few rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def rows(df):
     return sorted(tuple(r[k] for k in KEYS) for r in df.select(*KEYS).collect())
 
@@ -33,7 +42,7 @@ def test_replay_with_restarts_equals_the_batch(spark, events, tmp_path):
     for k in range(4):
         for j in (2 * k, 2 * k + 1):
             put(made.where(F.col("id").between(cuts[j], cuts[j + 1] - 1)), tmp_path / "in", f"part-{j}")
-        drift.run(drift.findings(drift.pairs(stream)), str(tmp_path / "out"), str(tmp_path / "state"), 300)
+        drift.run(drift.findings(drift.pairs(stream)), str(tmp_path / "out"), str(tmp_path / "state"))
     got = rows(spark.read.parquet(str(tmp_path / "out")))
     want = rows(batch.replayed(made))
     assert got == want and any(r[-1] for r in got)
@@ -73,7 +82,7 @@ def test_late_rows_and_ends_of_state(spark, tmp_path):
     ]
     for k, part in enumerate(parts):
         put(_snapshot(spark, part), tmp_path / "in", f"part-{k}")
-        drift.run(drift.pairs(stream, late="0 seconds", days=10), str(tmp_path / "out"), str(tmp_path / "state"), 300)
+        drift.run(drift.pairs(stream, late="0 seconds", days=10), str(tmp_path / "out"), str(tmp_path / "state"))
     found = spark.read.parquet(str(tmp_path / "out"))
     pairs = {(r.id, r.snapshot_id) for r in found.where("new is not null").collect()}
     assert pairs == {(5, 6), (6, 9), (9, 22), (20, 30)}
@@ -86,7 +95,7 @@ def test_state_with_a_time_to_live(spark, tmp_path):
     stream = windows.table_stream(spark, str(tmp_path / "in"), drift.SNAPSHOT, recursiveFileLookup=True)
     for k, number in enumerate((1, 2)):
         put(_snapshot(spark, [(number, "https://a.example/", 0, str(number))]), tmp_path / "in", f"part-{k}")
-        drift.run(drift.pairs(stream, ttl_ms=3_600_000), str(tmp_path / "out"), str(tmp_path / "state"), 300)
+        drift.run(drift.pairs(stream, ttl_ms=3_600_000), str(tmp_path / "out"), str(tmp_path / "state"), clock=True)
     assert [(r.id, r.snapshot_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 2)]
 
 
