@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm import wordhash
-from sightline.llm.common import SHINGLE, SIMILARITY, fresh, small, stored, words_text
+from sightline.llm.common import SHINGLE, SIMILARITY, fresh, released, small, stored, words_text
 from sightline.llm.wordhash import mix
 
 #: Bands of so many components: at similarity 0.8 a pair shares no band in 1 of 10^5 cases.
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFr
     # a is often the same; its text comes last
     one = pairs.join(texts.select(F.col("k").alias("b"), F.col("norm").alias("y")), "b")
     two = one.join(texts.select(F.col("k").alias("a"), F.col("norm").alias("x")), "a")
-    return two.select("a", "b", "x", "y").mapInPandas(measure, "a binary, b binary, similarity double")
+    return two.select("a", "b", "x", "y").mapInPandas(released(measure), "a binary, b binary, similarity double")
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -202,7 +202,7 @@ def links(docs: DataFrame, n: int = SHINGLE, least: float = SIMILARITY, bands: i
             keys, weight, short = band_keys(list(pdf["norm"]), n, bands, rows)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": pdf["k"], "weight": weight, "bands": list(keys.view(np.int64)), "sig": [x.tobytes() for x in short]})
 
-    signed = stored(texts.mapInPandas(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k binary, weight long, bands array<long>, sig binary"), "signed")
+    signed = stored(texts.mapInPandas(released(sign), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k binary, weight long, bands array<long>, sig binary"), "signed")
     members = signed.select("doc_id", "k", "weight")
     unique = signed.where("weight > 0").groupBy("k").agg(F.first("bands").alias("bands"))
     band = unique.select("k", F.explode("bands").alias("band"))
@@ -223,7 +223,7 @@ def links(docs: DataFrame, n: int = SHINGLE, least: float = SIMILARITY, bands: i
             yield pd.DataFrame({"k": pdf["k"], "weight": pdf["weight"], "root": pdf["root"], "bands": list(fine_keys(short, FINE, FINE_ROWS).view(np.int64))})
 
     again = signed.select("k", "weight", "sig").join(rest, "k").dropDuplicates(["k"])
-    again = again.mapInPandas(refine, "k binary, weight long, root binary, bands array<long>").select("k", "weight", "root", F.explode("bands").alias("band"))
+    again = again.mapInPandas(released(refine), "k binary, weight long, root binary, bands array<long>").select("k", "weight", "root", F.explode("bands").alias("band"))
     sizes = again.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").where(F.col("size") <= FULL)
     again = stored(again.join(sizes.select("band"), "band"), "fine")
     left = again.select("band", F.col("k").alias("a"), F.col("weight").alias("wa"), F.col("root").alias("ra"))

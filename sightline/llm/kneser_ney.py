@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import stored
+from sightline.llm.common import released, stored
 
 ORDER = 5
 #: Stands before the first character of a text.
@@ -287,7 +287,7 @@ def one_shard(docs: DataFrame, sent, model: Model, shard: int, text: str, total:
         finally:
             _TABLES.clear()  # the worker is used again
 
-    return docs.mapInPandas(add, T.StructType(docs.schema.fields))
+    return docs.mapInPandas(released(add), T.StructType(docs.schema.fields))
 
 
 def mine(codes: np.ndarray, pos: np.ndarray, shard: int, shards: int) -> np.ndarray:
