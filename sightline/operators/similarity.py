@@ -30,7 +30,9 @@ def shingles(words: Column, n: int = SHINGLE) -> Column:
 def content_sets(pages: DataFrame, visible: Column, n: int = SHINGLE) -> DataFrame:
     """pages(page_id, ...) -> (page_id, words, tokens): the words of the visible text, and its shingles as a set."""
     words = F.filter(F.split(F.lower(tx.text_or_empty(visible)), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    return pages.select("page_id", words.alias("w")).select("page_id", F.size("w").alias("words"), shingles(F.col("w"), n).alias("tokens"))
+    # the words are bound to a variable: as an expression they would be worked out again for each shingle
+    made = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("words"), shingles(w, n).alias("tokens")))[0]
+    return pages.select("page_id", made.alias("m")).select("page_id", "m.words", "m.tokens")
 
 
 def representatives(sets: DataFrame) -> DataFrame:
@@ -97,6 +99,7 @@ def copies(sets: DataFrame, least: float = COPY) -> DataFrame:
     similarity is over `least`; closest: the largest of those similarities, null without links. Copies are one set of
     the join, so a group of copies of any size costs a row. page_id must be unique; an empty table gives an empty one.
     """
+    sets = stored(sets.select("page_id", "tokens"), "sets")
     named = stored(representatives(sets), "classes")
     firsts = sets.join(named.where("page_id = class_id").select("page_id"), "page_id").select(F.col("page_id").alias("id"), "tokens")
     pairs = stored(near_pairs(firsts, least), "near-pairs")
