@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from sightline.plans import audit_queries, event_queries, fixture_queries, listing_queries, page_queries, payload_queries, rule_queries, similarity_queries, star_queries, stream_queries, text_queries  # noqa: F401
+from sightline.plans import audit_queries, event_queries, fixture_queries, listing_queries, page_queries, payload_queries, rank_queries, rule_queries, similarity_queries, star_queries, stream_queries, text_queries  # noqa: F401
