@@ -78,35 +78,3 @@ def encoded(text: Column) -> Column:
     for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
-
-
-def ipv4_number(name: Column) -> Column:
-    """The address of a dotted quad as a number; null if it is none."""
-    octets = F.regexp_extract_all(name, F.lit(r"\d+"), F.lit(0))
-    number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
-    valid = name.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~F.exists(octets, lambda x: F.length(x) > 3) & ~F.exists(octets, lambda x: F.try_to_number(x, F.lit("999")) > 255)
-    return F.when(valid, number)
-
-
-#: First and last address of the IPv4 ranges that are not public, as their CIDR notation has them (fixed values).
-PRIVATE = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/3")
-
-
-def public_ipv4(number: Column) -> Column:
-    """Whether an IPv4 address (as a number) lies in none of the ranges that are not public."""
-    bad = F.lit(False)
-    for cidr in PRIVATE:
-        base, bits = cidr.split("/")
-        low = sum(int(b) << s for b, s in zip(base.split("."), (24, 16, 8, 0)))
-        bad = bad | number.between(low, low + (1 << (32 - int(bits))) - 1)
-    return ~bad
-
-
-def safe(url: Column) -> Column:
-    """Whether a URL may be fetched by a server: http(s), no user, % or backslash in the authority, a public host."""
-    authority, name = part(url, 2), host(url)
-    local = name.isin("localhost", "localhost.localdomain", "ip6-localhost", "metadata.google.internal", "metadata", "") | name.rlike(r"\.(local|internal|localhost)$") | name.startswith("[")
-    numeric = name.rlike(r"^(0x[0-9a-f]+|\d+)(\.(0x[0-9a-f]+|\d+))*$")
-    public = F.coalesce(public_ipv4(ipv4_number(name)), ~numeric)
-    octal = name.rlike(r"(^|\.)0\d")
-    return F.coalesce(url.rlike(r"^(?i)https?://") & ~authority.rlike(r"[@%\\]") & ~local & public & ~octal, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.functions import urls as ux
+from sightline.functions import addresses
 from sightline.operators import drift, markets, rules, sites
 from sightline.registry import fixture
 
@@ -57,7 +57,7 @@ def locale_link_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @fixture("""select * from (values ('http://127.0.0.1/', false), ('http://10.1.2.3/a', false), ('https://a.example/', true), ('ftp://a.example/', false), ('http://u@a.example/', false), ('http://0177.0.0.1/', false), ('http://8.8.8.8/', true), ('http://localhost:80/', false), ('http://2130706433/', false)) t(url, is_safe)""")
 def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = ["http://127.0.0.1/", "http://10.1.2.3/a", "https://a.example/", "ftp://a.example/", "http://u@a.example/", "http://0177.0.0.1/", "http://8.8.8.8/", "http://localhost:80/", "http://2130706433/"]
-    return spark.createDataFrame([(u,) for u in urls], "url string").select("url", ux.safe(F.col("url")).alias("is_safe"))
+    return spark.createDataFrame([(u,) for u in urls], "url string").select("url", addresses.safe(F.col("url")).alias("is_safe"))
 
 
 @fixture("""with s as (select unnest(range(0, 7)) as k), p as (select a.k as r, b.k as c, (3 - a.k) * 1.0 as dy, (b.k - 3) * 1.0 as dx from s a, s b) select r::int as row, c::int as col, round(48.0 + dy / 111.32, 6) as lat, round(2.0 + dx / (111.32 * cos(radians(48.0))), 6) as lng, if(dy >= 0, 'N', 'S') || if(dx >= 0, 'E', 'W') as quadrant from p""")

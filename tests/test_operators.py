@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sightline.functions import text as tx
+from sightline.functions import addresses
 from sightline.functions import urls as ux
 from sightline.operators import claims, content, drift, markets, markup, pages, rules, scores, series, sites
 from sightline.sources import shared, vendors
@@ -34,7 +35,7 @@ def test_url_parts(spark):
     assert many(spark, ["www.b.a.example", "a.example"], ux.reversed_host) == ["example.a.b", "example.a"]
     assert many(spark, [" http://WWW.A.example/x ", "a.example"], ux.domain) == ["www.a.example", "a.example"]
     assert one(spark, "a b*~/", ux.encoded) == "a%20b%2A~%2F"
-    assert many(spark, ["192.168.1.1", "8.8.8.8", "256.1.1.1", "x", "1234.1.1.1"], ux.ipv4_number) == [3232235777, 134744072, None, None, None]
+    assert many(spark, ["192.168.1.1", "8.8.8.8", "256.1.1.1", "x", "1234.1.1.1"], addresses.ipv4) == [3232235777, 134744072, None, None, None]
 
 
 @settings(max_examples=15, deadline=None)
