@@ -48,6 +48,32 @@ def velocity(events: DataFrame, keys: list[str], ts: str, unit: str = "week", fa
     return per.withColumn("mean_before", mean).withColumn("burst", F.coalesce(F.col("n") >= factor * F.col("mean_before"), F.lit(False)))
 
 
+def link_months(links: DataFrame, end: Column, lost_share: float = 0.5, silent: int = 3, least: int = 2) -> DataFrame:
+    """links(site, found date, lost date, tld) -> each month of each site from its first link to `end`, those without links too:
+    gained, lost, live_before (links at its start), lost_share, lost_many (`lost_share` or more of those), silent (the last
+    `silent` months or more had no new link), one_tld (`least` new links or more, all of one domain ending).
+
+    Links without site or found are left out; one lost before it was found is lost in that month; one whose ending is null
+    is of no ending, so the month's new links aren't all of one. A share of no links is null.
+    """
+    month = lambda c: F.trunc(c, "month")
+    known = links.where(F.col("site").isNotNull() & F.col("found").isNotNull() & (month(F.col("found")) <= month(end)))
+    new, gone = F.struct(month(F.col("found")).alias("month"), F.lit(1).alias("gained"), F.lit(0).alias("lost")), F.struct(month(F.greatest("found", "lost")).alias("month"), F.lit(0).alias("gained"), F.lit(1).alias("lost"))
+    moves = known.select("site", "tld", F.explode(F.when(F.col("lost").isNull(), F.array(new)).otherwise(F.array(new, gone))).alias("m")).select("site", "m.*", F.when(F.col("m.gained") == 1, F.col("tld")).alias("tld"))
+    per = moves.groupBy("site", "month").agg(F.sum("gained").alias("gained"), F.sum("lost").alias("lost"), F.min("tld").alias("a"), F.max("tld").alias("b"), F.count("tld").alias("endings"))
+    # months are made for each site, from its own first one; a site's months are as many as the calendar has
+    spine = per.groupBy("site").agg(F.min("month").alias("start")).select("site", F.explode(F.sequence("start", month(end), F.expr("interval 1 month"))).alias("month"))
+    every = spine.join(per, ["site", "month"], "left").select("site", "month", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("gained", "lost", "endings")], "a", "b")
+    order = Window.partitionBy("site").orderBy("month")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    quiet = F.sum("gained").over(order.rowsBetween(1 - silent, 0)) == 0
+    whole = F.count(F.lit(1)).over(order.rowsBetween(1 - silent, 0)) == silent
+    live = F.coalesce(F.sum(F.col("gained") - F.col("lost")).over(past), F.lit(0))
+    out = every.withColumn("live_before", live).withColumn("silent", quiet & whole).withColumn("lost_share", F.when(F.col("live_before") > 0, F.col("lost") / F.col("live_before")))
+    one = (F.col("gained") >= least) & (F.col("endings") == F.col("gained")) & (F.col("a") == F.col("b"))
+    return out.select("site", "month", "gained", "lost", "live_before", "lost_share", F.coalesce(F.col("lost_share") >= lost_share, F.lit(False)).alias("lost_many"), "silent", F.coalesce(one, F.lit(False)).alias("one_tld"))
+
+
 #: Bounds of good and poor at the 75th percentile: largest paint and input delay in ms, layout shift (fixed values).
 VITALS = {"lcp": (2500, 4000), "inp": (200, 500), "cls": (0.1, 0.25)}
 

@@ -30,6 +30,20 @@ def event_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mean_before", tx.half_up(F.col("mean_before"), 6))
 
 
+#: Order lines as links to parts.
+_LINKS = "l_partkey as site, cast(l_shipdate as date) as found, case when l_linenumber % 2 = 0 then cast(l_shipdate as date) + cast(l_quantity * 20 as int) end as lost, case when l_quantity > 2 then l_returnflag end as tld"
+
+
+@query(f"""with l as (select {_LINKS} from lineitem), s as (select site, date_trunc('month', min(found)) as start from l group by site), m as (select site, start, unnest(generate_series(start::timestamp, timestamp '2001-12-01', interval 1 month))::date as month from s),
+k as (select m.site, m.month, m.start, count(*) filter (date_trunc('month', found) = month) as gained, count(*) filter (date_trunc('month', lost) = month) as lost, count(*) filter (found < month) - count(*) filter (lost < month) as live_before, count(*) filter (found >= month - interval 2 month and found < month + interval 1 month) as recent,
+ count(distinct coalesce(tld, '?' )) filter (date_trunc('month', found) = month) as endings, count(*) filter (date_trunc('month', found) = month and tld is null) as blank from m join l using (site) group by 1, 2, 3)
+select site, month, gained, lost, live_before, case when live_before > 0 then lost / live_before end as lost_share, live_before > 0 and lost * 2 >= live_before as lost_many, recent = 0 and start <= month - interval 2 month as silent, gained >= 2 and endings = 1 and blank = 0 as one_tld from k""")
+def link_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New and lost links of each month, months without any among them, with what is suspect of each."""
+    links = table(spark, sf_dir, "lineitem").selectExpr("l_partkey as site", "cast(l_shipdate as date) as found", "case when l_linenumber % 2 = 0 then date_add(cast(l_shipdate as date), cast(l_quantity * 20 as int)) end as lost", "case when l_quantity > 2 then l_returnflag end as tld")
+    return series.link_months(links, F.to_date(F.lit("2001-12-15")))
+
+
 @query("""with p as (select user_id, quantile_cont(value * 50, 0.75) as p75 from events group by 1) select user_id, round(p75 * 1e6) / 1e6 as p75, case when p75 <= 2500 then 'good' when p75 <= 4000 then 'needs improvement' when p75 > 4000 then 'poor' end as band from p""")
 def vitals_p75(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.percentile(F.col("value") * 50, F.lit(0.75)).alias("p75"))

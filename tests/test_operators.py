@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sightline.functions import text as tx
 from sightline.functions import addresses
+from sightline.functions import text as tx
 from sightline.functions import urls as ux
 from sightline.operators import claims, content, drift, markets, markup, pages, rules, scores, series, sites
 from sightline.sources import shared, vendors
@@ -358,3 +358,23 @@ def test_structured_data_that_is_no_json_does_not_count(spark):
     rows = [(1, page("{not json")), (2, page('{"a": 1}')), (3, page("{") + page(" [] ")), (4, "<script>{}</script>")]
     pages = spark.createDataFrame([(i, "https://a.example/", h) for i, h in rows], "page_id long, url string, html string")
     assert {r.page_id: "structured-data" in r.failed for r in audits.agent_readability(pages).collect()} == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_link_months_of_odd_links(spark):
+    """Silent months, more lost than half, endings that are null, links without site or date, lost before found, beyond the end."""
+    day = lambda t: None if t is None else dt.date.fromisoformat(t)
+    rows = [("a", "2024-01-05", "2024-02-01", "com"), ("a", "2024-01-31", None, "com"), ("a", "2024-06-10", "2024-05-01", "net"), ("a", "2024-06-11", "2025-01-01", None), ("a", "2025-03-01", None, "com"), ("b", "2024-06-30", None, None), (None, "2024-01-01", None, "com"), ("c", None, "2024-01-01", "com")]
+    links = spark.createDataFrame([(s, day(f), day(x), t) for s, f, x, t in rows], "site string, found date, lost date, tld string")
+    got = [(r.site, r.month.month, r.gained, r.lost, r.live_before, r.lost_share, r.lost_many, r.silent, r.one_tld) for r in series.link_months(links, F.to_date(F.lit("2024-07-20"))).collect()]
+    assert sorted(got, key=lambda r: r[:2]) == [
+        ("a", 1, 2, 0, 0, None, False, False, True),
+        ("a", 2, 0, 1, 2, 0.5, True, False, False),
+        ("a", 3, 0, 0, 1, 0.0, False, False, False),
+        ("a", 4, 0, 0, 1, 0.0, False, True, False),
+        ("a", 5, 0, 0, 1, 0.0, False, True, False),
+        ("a", 6, 2, 1, 1, 1.0, True, False, False),
+        ("a", 7, 0, 0, 2, 0.0, False, False, False),
+        ("b", 6, 1, 0, 0, None, False, False, False),
+        ("b", 7, 0, 0, 1, 0.0, False, False, False),
+    ]
+    assert series.link_months(links.limit(0), F.to_date(F.lit("2024-07-20"))).count() == 0
