@@ -3,7 +3,9 @@
 Base measures are fixed by contract; on top of them each rule (a share of symbols, of repeated lines, ...) has a grid of
 cutoffs in each stratum. Of the labelled good documents of a stratum a cutoff rejects k of n; it is admitted if the
 binomial probability of k or fewer, were the true share of rejections as high as allowed, is at most the error level
-divided by the number of all tests made. The strictest admitted cutoff holds; without one the rule rejects nothing.
+divided by the number of rules and strata. Along a grid the tests go in a fixed order, from mild to strict, and end with the
+first that fails, so a rule's whole grid costs no more than one test. The strictest admitted cutoff holds; without one the
+rule rejects nothing.
 """
 
 from __future__ import annotations
@@ -89,16 +91,21 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(measures: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """measures(stratum and the shares) of good documents -> (stratum, rule, cutoff): the strictest that is admitted."""
+    """measures(stratum and the shares) of good documents -> (stratum, rule, cutoff): the strictest that the sequence admits.
+
+    Chance that in any stratum all rules together reject more than `risk` of the good documents: at most `error`. Strata with
+    under some ln(rules * strata / error) * rules / risk good documents (1,500 for four strata) admit nothing.
+    """
     tests = [(rule, c) for rule, grid in GRID.items() for c in grid]
     counts = measures.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(rule) > c).alias(f"k{i}") for i, (rule, c) in enumerate(tests)])
     counts = stored(counts, "rule-counts")
     strata = max(1, counts.count())
-    level = math.log(error / (len(tests) * strata))
+    level = math.log(error / (len(GRID) * strata))
     allowed = risk / len(GRID)
     row = [F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, c) in enumerate(tests)]
     each = counts.select("stratum", "n", F.explode(F.array(*row)).alias("t")).select("stratum", "n", "t.*")
-    # above the mean the tail is over a half; no sum is needed there
+    # k only grows towards the strict end, and the tail with it: what passes is a run of the mild end, and its last one the smallest.
+    # Above the mean the tail is over a half; no sum is needed there
     passes = (F.col("k") <= F.col("n") * allowed) & (binomial_tail(F.col("k"), F.col("n"), allowed) <= level)
     return each.where(passes).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 

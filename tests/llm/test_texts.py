@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -166,6 +167,45 @@ def test_rules_keep_the_good_and_survive_no_labels(spark, sf):
     assert sorted((r.doc_id or 0, r.base_failed, r.kept) for r in got) == [(0, True, False), (1, True, False), (2, False, True)]
 
 
+def test_cutoffs_are_brute_force(spark):
+    draw = random.Random(10)
+    rows = [(s, *[draw.choice([0.0, 0.0, 0.0, draw.random() * 0.1]) if draw.random() < 0.99 else draw.random() for _ in range(4)], draw.uniform(3, 6.99) if draw.random() < 0.997 else draw.uniform(6, 16)) for s, n in (("a", 4000), ("b", 2000), ("c", 300), ("", 1)) for _ in range(n)]
+    table = spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{r} double" for r in quality_rules.GRID))
+    for risk, error in ((0.02, 0.05), (0.2, 0.05), (0.5, 0.5)):
+        want = {}
+        for s in {r[0] for r in rows}:
+            mine = [r for r in rows if r[0] == s]
+            for i, (rule, grid) in enumerate(quality_rules.GRID.items()):
+                for cut in sorted(grid, reverse=True):
+                    k, p = sum(r[i + 1] > cut for r in mine), risk / len(quality_rules.GRID)
+                    tail = sum(math.exp(math.lgamma(len(mine) + 1) - math.lgamma(j + 1) - math.lgamma(len(mine) - j + 1) + j * math.log(p) + (len(mine) - j) * math.log1p(-p)) for j in range(k + 1))
+                    if tail > error / (len(quality_rules.GRID) * 4):
+                        break
+                    want[s, rule] = cut
+        assert {(r.stratum, r.rule): r.cutoff for r in quality_rules.cutoffs(table, risk, error).collect()} == want
+        assert want
+
+
+def test_rules_reject_junk_where_labels_suffice(spark):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("abcdefghij", k=draw.randrange(2, 9)))
+    good = [" ".join(word() for _ in range(30)) for _ in range(2500)]
+    junk = [" ".join(word() + "#$%" for _ in range(30)) for _ in range(100)]
+    odd = [None, "", "one", "x y " * 50, "\n".join(["l one two three four five six seven"] * 9), "A" * 200_000, good[0] + " " + "y" * 100]
+    texts = good + junk + odd + good[:3] + junk[:3]
+    rows = spark.createDataFrame([(i, t, "en" if i % 2 or i >= 2500 else None, True, "c") for i, t in enumerate(texts)] + [(9000 + i, t, "xx", False, "c") for i, t in enumerate(junk)], "doc_id long, text string, lang string, kept boolean, n_words string")
+    labels = spark.createDataFrame([(i, 1) for i in range(2500)] + [(2500, 0), (None, 1), (3, None), (3, 1)], "doc_id long, quality int")
+    out = {r[0]: (r["base_failed"], r[-1], r["kept"], r["n_words"]) for r in quality_rules.judged(rows, labels, risk=0.05).collect()}
+    assert all(v[2:] == (i < 9000, "c") for i, v in out.items())  # columns of the same names stay as they were
+    assert all(out[i][1] for i in range(2500))
+    assert not any(out[i][1] for i in range(2500, 2600)) and not any(out[i][0] for i in range(2500, 2600))
+    assert all(out[9000 + i][1] for i in range(100))  # a stratum without labels has no cutoffs
+    n = 2600
+    assert [out[n + i][:2] for i in range(5)] == [(True, False)] * 5 and not out[n + 6][1]
+    assert all(out[n + len(odd) + i][1] for i in range(3)) and not any(out[n + len(odd) + 3 + i][1] for i in range(3))
+    assert quality_rules.judged(rows.limit(0), labels).count() == 0
+
+
 def test_language_held_out_accuracy(spark, sf):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", F.lit("z").alias("score"))
     out = langid.identified(rows)
