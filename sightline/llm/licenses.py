@@ -1,8 +1,9 @@
 """License scans: ordered signature rules over word text, gated by keywords, with overlaps resolved by priority.
 
 Texts are lower-cased (A to Z) words joined by one space. A cheap test for a few substrings gates the rules; of those
-each is tried only where its own keyword stands. Matches begin and end at words. Of two matches one of which lies in
-the other the longer stays; of equal ones, and of two that overlap in part, that with the better priority.
+each is tried only where its own keyword stands. Matches begin and end at words. They are taken by rank: the better priority,
+then the longer one, the first, and by label. One that lies in a match that stays, or overlaps it, goes; what lies only in
+matches that go stays.
 """
 
 from __future__ import annotations
@@ -121,17 +122,15 @@ def _rule_spans(norm: Column, rule: Column) -> Column:
 
 
 def _resolved(spans: Column) -> Column:
-    """spans without those that lie in another or lose against one that they overlap."""
+    """spans by rank (priority, then the longest, the first and its label), each unless it overlaps one that stays; by start."""
+    ranked = F.array_sort(F.transform(spans, lambda x: F.struct(x["priority"], (x["start"] - x["end"]).alias("length"), x["start"], x["label"], x.alias("x"))))
 
-    def step(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        free = (F.size(kept) == 0) | (x["start"] >= last["end"])
-        wins = (x["end"] > last["end"]) & (x["priority"] < last["priority"])
-        return F.when(free, F.concat(kept, F.array(x))).when(wins, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))).otherwise(kept)
+    def step(kept: Column, o: Column) -> Column:
+        x = o["x"]
+        taken = F.exists(kept, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
+        return F.when(taken, kept).otherwise(F.concat(kept, F.array(x)))
 
-    # by start, the longest first, then by priority: what lies in another comes after it
-    order = F.transform(spans, lambda x: F.struct(x["start"], (-x["end"]).alias("minus"), x["priority"], x["label"], x.alias("x")))
-    return F.aggregate(F.transform(F.array_sort(order), lambda o: o["x"]), F.array().cast(f"array<{_SPAN}>"), step)
+    return F.array_sort(F.aggregate(ranked, F.array().cast(f"array<{_SPAN}>"), step))
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -91,6 +91,47 @@ def test_license_base_on_documents(spark, sf):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_license(r.text)
 
 
+def stay(spans):
+    kept = []
+    for x in sorted(spans, key=lambda x: (x[2], x[0] - x[1], x[0], x[4])):
+        if all(k[1] <= x[0] or x[1] <= k[0] for k in kept):
+            kept.append(x)
+    return sorted(kept)
+
+
+def test_license_overlaps_are_resolved_by_rank(spark):
+    draw = random.Random(6)
+    rows = []
+    for _ in range(300):
+        spans = [(s, s + draw.randrange(1, 9), draw.choice([5, 10, 20]), 0.5, draw.choice("abc")) for s in draw.choices(range(25), k=draw.randrange(9))]
+        rows.append((spans + spans[:1],))
+    rows += [([(0, 5, 30, 0.5, "a"), (1, 3, 50, 0.5, "b"), (4, 8, 10, 0.5, "c")],), ([],)]  # b lies in a, which goes for c
+    table = spark.createDataFrame(list(enumerate(r for r, in rows)), f"i int, spans array<{licenses._SPAN}>").select("i", licenses._resolved(F.col("spans")).alias("out"))
+    got = {r.i: [tuple(x) for x in r.out] for r in table.collect()}
+    assert got == {i: stay(r) for i, (r,) in enumerate(rows)}
+    assert [x[4] for x in got[300]] == ["b", "c"]
+
+
+def test_license_detections_are_brute_force(spark, sf):
+    tried = [(r, re.compile(f"(?<= )(?:{r.regex})(?= )")) for r in licenses.rules()]
+
+    def found(text):
+        low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        norm = " " + re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", low).strip(" ") + " "
+        return stay([(i := norm[: m.start()].count(" ") - 1, i + m.group().count(" ") + 1, r.priority, r.trust, r.label) for r, p in tried for m in p.finditer(norm)])
+
+    texts = ODD + ["Licensed under the Apache License, Version 2.0, or MIT license; SPDX-License-Identifier: GPL-2.0-or-later", "under the terms of the GNU Lesser General Public License version 3 or any later version. " * 200, "CC BY-SA 4.0 cc by nc nd creative commons attribution share alike 4.0 international license all rights reserved", "x " * 50_000 + "mit license", " ".join(sample(r.regex) for r in licenses.rules())]
+    texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    more = docs(spark, texts + texts[:20]).select("*", F.lit("mine").alias("labels"), F.lit(1).alias("lic_norm"), F.lit(2).alias("Detections"))
+    base = lambda t: set(filter(None, brute_license(t)[4].split(",")))
+    for r in licenses.scanned(more).collect():
+        text, want = (texts + texts[:20])[r[0]], found((texts + texts[:20])[r[0]])
+        assert r[2:5] == ("mine", 1, 2) and [tuple(x) for x in r["detections_"]] == want, text
+        assert r["labels_"] == ",".join(sorted(base(text) | {x[4] for x in want})), text
+        assert r.score == max([x[3] for x in want] + [0.7] * bool(base(text)) + [0.0]), text
+    assert licenses.scanned(more.limit(0)).count() == 0
+
+
 def test_license_rules_are_hundreds():
     assert len(licenses.rules()) >= 200
     for r in licenses.rules():
