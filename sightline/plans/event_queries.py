@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import text as tx
-from sightline.operators import series
+from sightline.operators import series, sketches
 from sightline.registry import query, table
+from sightline.sources.shared import stored
 from sightline.streaming import windows
 
 
@@ -98,3 +99,12 @@ def conversation_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), tx.half_up(F.avg(norm), 4).alias("mean_norm"))
+
+
+@query("""with d as (select distinct event_type, date_trunc('week', ts)::date as period, user_id from events), n as (select event_type, date_trunc('week', ts)::date as period, count(*) as n from events group by 1, 2)
+select n.event_type, n.period, n.n, count(d.user_id) as "distinct", count(b.user_id) as returned, count(d.user_id) - count(b.user_id) as "new" from n join d using (event_type, period)
+left join d b on b.event_type = d.event_type and b.user_id = d.user_id and b.period = d.period - 7 group by 1, 2, 3""")
+def weekly_returning_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of each week and those seen the week before, from stored sketches of days."""
+    days = stored(sketches.daily(table(spark, sf_dir, "events"), ["event_type"], "ts", "user_id", "value"), "days")
+    return sketches.returning(sketches.merged(days, ["event_type"]), ["event_type"])
