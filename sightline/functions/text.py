@@ -91,3 +91,9 @@ def escaped(text: Column) -> Column:
 def half_up(x: Column, digits: int = 0) -> Column:
     """Rounded half away from zero after scaling: round(x 10^n) / 10^n."""
     return F.round(x * float(10**digits)) / float(10**digits) + F.lit(0.0)
+
+
+def half_away(x: Column, digits: int = 0) -> Column:
+    """half_up() as SQL has it: what is below zero and rounds to it stays below, as -0.0."""
+    y = x * float(10**digits)
+    return F.when(F.round(y) == 0, y * 0.0).otherwise(F.round(y) / float(10**digits))

@@ -116,6 +116,8 @@ def test_series(spark):
     pts = spark.createDataFrame([("a", 1, 10.0), ("a", 2, None), ("a", 3, 12.0), ("b", 1, 0.0), ("b", 2, 1.0), ("c", 1, None)], "k string, t int, v double")
     got = {r.k: (r.change_pct, r.direction) for r in series.trend(pts, ["k"], "t", "v").collect()}
     assert got == {"a": (20.0, "worse"), "b": (None, None)}
+    pts = spark.createDataFrame([("a", 1, 3000.0), ("a", 2, 2999.0), ("b", 1, 2999.0), ("b", 2, 3000.0), ("c", 1, -5.0)], "k string, t int, v double")
+    assert {r.k: str(r.change_pct) for r in series.trend(pts, ["k"], "t", "v").collect()} == {"a": "-0.0", "b": "0.0", "c": "-0.0"}  # as SQL rounds
     assert many(spark, ["5", "1", "0", "-3", "-9"], lambda c: series.trend_band(c.cast("double"))) == ["strong growth", "growth", "stable", "decline", "strong decline"]
 
 
