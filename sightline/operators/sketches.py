@@ -5,9 +5,11 @@ A day of a key is one row of bounded size, whatever the number of its rows and i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.sources.shared import stored
+
 #: Ids that a set holds exactly, as a power of two (beyond them its standard error is 1.6 %), size of the counter (1.6 % too) and of quantiles (1.3 % in rank).
 SET_BITS, COUNTER_BITS, QUANTILE_SIZE = 12, 12, 200
 
@@ -30,15 +32,34 @@ def quantile(sketch: Column, share: float) -> Column:
     return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(share)))
 
 
-def returning(periods: DataFrame, keys: list[str], unit: str = "week") -> DataFrame:
+def ids(rows: DataFrame, keys: list[str], ts: str, of: str, unit: str = "week") -> DataFrame:
+    """rows -> keys, period, id: the different ids of each period, nulls left out."""
+    return rows.where(F.col(of).isNotNull()).select(*keys, F.to_date(F.date_trunc(unit, F.col(ts))).alias("period"), F.col(of).alias("id")).distinct()
+
+
+def returning(periods: DataFrame, keys: list[str], unit: str = "week", exact: DataFrame | None = None) -> DataFrame:
     """merged() -> keys, period, n, distinct, returned (seen in the period before as well) and new (not seen in it).
 
-    A period that no row of the key precedes has no returned ids. Counts are exact while both sets have at most 2^SET_BITS ids.
+    A period that no row of the key precedes has no returned ids. Counts are exact while both sets have at most 2^SET_BITS ids;
+    with ids() as `exact` those of larger sets are exact too, and only their periods' ids are counted.
     """
-    step = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month"}[unit]
-    before = periods.select(*keys, F.to_date(F.col("period") + F.expr(step)).alias("period"), F.col("ids").alias("before"))
+    step = F.expr({"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month"}[unit])
+    before = periods.select(*keys, F.to_date(F.col("period") + step).alias("period"), F.col("ids").alias("before"))
     out = periods.join(before, [*keys, "period"], "left")
     both = F.when(F.col("before").isNotNull(), F.theta_sketch_estimate(F.theta_intersection("ids", "before")))
     gone = F.when(F.col("before").isNotNull(), F.theta_sketch_estimate(F.theta_difference("ids", "before")))
     distinct = F.theta_sketch_estimate("ids")
-    return out.select(*keys, "period", "n", distinct.alias("distinct"), F.coalesce(both, F.lit(0)).alias("returned"), F.coalesce(gone, distinct).alias("new"))
+    counts = [distinct.alias("distinct"), F.coalesce(both, F.lit(0)).alias("returned"), F.coalesce(gone, distinct).alias("new")]
+    if exact is None:
+        return out.select(*keys, "period", "n", *counts)
+    # an estimate of half the size can't come of a set beyond it
+    most = F.greatest(distinct, F.coalesce(F.theta_sketch_estimate("before"), F.lit(0)))
+    out = stored(out.select(*keys, "period", "n", *counts, (most > 2 ** (SET_BITS - 1)).alias("large")), "periods")
+    large = out.where("large").select(*keys, "period")
+    need = large.unionByName(large.select(*keys, F.to_date(F.col("period") - step).alias("period"))).distinct()
+    again = F.lag("period").over(Window.partitionBy(*keys, "id").orderBy("period")) + step
+    seen = exact.join(need, [*keys, "period"], "left_semi").withColumn("again", F.coalesce(F.to_date(again) == F.col("period"), F.lit(False)))
+    sums = seen.groupBy(*keys, "period").agg(F.count(F.lit(1)).alias("d_"), F.count_if("again").alias("r_"))
+    both = out.join(sums, [*keys, "period"], "left")
+    pick = lambda c, x: F.when(F.col("large"), F.coalesce(x, F.lit(0))).otherwise(F.col(c)).alias(c)
+    return both.select(*keys, "period", "n", pick("distinct", F.col("d_")), pick("returned", F.col("r_")), pick("new", F.col("d_") - F.col("r_")))

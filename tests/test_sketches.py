@@ -39,3 +39,13 @@ def test_returning_is_exact_for_small_sets(spark):
     assert {(r.k, r.period): tuple(r)[2:] for r in sketches.returning(periods, ["k"]).collect()} == want
     assert {r.q for r in periods.select(sketches.quantile(F.col("quantiles"), 0.5).alias("q")).collect()} == {None}
     assert sketches.returning(sketches.merged(days.limit(0), ["k"]), ["k"]).count() == 0
+
+
+def test_returning_is_exact_for_large_sets(spark):
+    start = "timestamp '2024-01-01' + make_interval(0, 0, 0, cast(week * 7 as int))"
+    rows = spark.range(40_000).selectExpr("id % 4 as week", "if(id % 4 = 3, id % 100, id % 9001) as user", "'a' as k", "1.0D as v").selectExpr("k", "user", "v", f"{start} as ts", "week")
+    periods = sketches.merged(sketches.daily(rows, ["k"], "ts", "user", "v"), ["k"])
+    got = {(r.period.day - 1) // 7: tuple(r)[2:] for r in sketches.returning(periods, ["k"], exact=sketches.ids(rows, ["k"], "ts", "user")).collect()}
+    users = [{i % 100 if i % 4 == 3 else i % 9001 for i in range(w, 40_000, 4)} for w in range(4)]
+    before = [set(), *users]
+    assert got == {w: (10_000, len(u), len(u & b), len(u - b)) for w, (u, b) in enumerate(zip(users, before))}
