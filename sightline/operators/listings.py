@@ -8,6 +8,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.sources.shared import stored
+
 # Legal forms that names do without, short forms of words in addresses, and how grave a mismatch is.
 LEGAL_FORMS = ("inc", "llc", "ltd", "gmbh", "co", "corp", "plc", "sa", "sarl", "bv")
 SHORT_FORMS = {"street": "st", "avenue": "ave", "road": "rd", "boulevard": "blvd", "suite": "ste", "north": "n", "south": "s", "east": "e", "west": "w"}
@@ -15,6 +17,8 @@ SEVERITIES = {"name": "Critical", "address": "High", "phone": "Medium"}
 FIELDS = tuple(SEVERITIES)
 #: Digits of a phone that count, from its end: what stands before them is the way to dial.
 DIGITS = 9
+#: Rows with the same value that are all compared.
+FEW = 32
 
 
 def _words(text: Column) -> Column:
@@ -33,52 +37,52 @@ def normal(field: str, text: Column) -> Column:
     return F.nullif(out, F.lit(""))
 
 
-def _pieces(size: Column) -> list[tuple[Column, Column]]:
-    """Where the two halves of a text of a size begin, and how long they are."""
-    half = (size / 2).cast("int")
-    return [(F.lit(1), half), (half + 1, size - half)]
+def _variants(text: Column) -> Column:
+    """The text and what is left of it without each of its characters: texts one edit apart have one in common."""
+    less = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+    return F.concat(F.array(text), F.when(F.length(text) > 0, less).otherwise(F.array().cast("array<string>")))
 
 
-def within_one_edit(left: DataFrame, right: DataFrame) -> DataFrame:
+def within_one_edit(left: DataFrame, right: DataFrame, few: int = FEW) -> DataFrame:
     """left(a, same, text) and right(b, same, text) -> (a, b): equal in `same`, texts at most one edit apart.
 
-    One edit leaves one half of a text as it is, moved by a place at most: halves of left texts meet the pieces of right
-    texts that stand where such a half can be. The key holds `same` too, so that a value that a third of all rows have
-    in one field is parted by the other. Nulls meet nothing.
+    Where `few` rows of one side or fewer have a value of `same`, they meet all of the other that have it. Where both
+    sides have more, they meet by the texts without one character, so that the work grows with the rows and not with
+    their square; a text of n characters then has n + 1 keys. Nulls meet nothing.
     """
-    key = lambda size, i, piece: F.xxhash64("same", size, F.lit(i), piece)
-    n, text = F.length("text"), F.col("text")
     known = "same is not null and text is not null"
-    halves = F.array(*[key(n, i, F.substring(text, p, k)) for i, (p, k) in enumerate(_pieces(n))])
-    places = []
-    for more in (-1, 0, 1):
-        size = n + more
-        for i, (p, k) in enumerate(_pieces(size)):
-            for move in (-1, 0, 1):
-                at = p + move
-                places.append(F.when((size >= 1) & (at >= 1) & (at + k - 1 <= n), key(size, i, F.substring(text, at, k))))
-    a = left.where(known).select("a", F.col("same").alias("same_a"), F.col("text").alias("text_a"), F.explode(F.array_distinct(halves)).alias("key"))
-    b = right.where(known).select("b", F.col("same").alias("same_b"), F.col("text").alias("text_b"), F.explode(F.array_distinct(F.array_compact(F.array(*places)))).alias("key"))
+    left, right = left.where(known), right.where(known)
+    count = lambda df, c: df.groupBy("same").agg(F.count(F.lit(1)).alias(c))
+    sizes = stored(count(left, "l").join(count(right, "r"), "same").select("same", (F.least("l", "r") > few).alias("many")), "sizes")
+    keys = lambda text: F.explode(F.array_distinct(F.when(F.col("many"), F.transform(_variants(F.col(text)), lambda v: F.xxhash64("same", v))).otherwise(F.array(F.xxhash64("same"))))).alias("key")
+    a = left.join(sizes, "same").select("a", F.col("same").alias("same_a"), F.col("text").alias("text_a"), keys("text"))
+    b = right.join(sizes, "same").select("b", F.col("same").alias("same_b"), F.col("text").alias("text_b"), keys("text"))
     met = a.join(b, "key").where((F.col("same_a") == F.col("same_b")) & (F.levenshtein("text_a", "text_b", 1) >= 0))
     return met.select("a", "b").distinct()
 
 
+def _forms(rows: DataFrame, *kept: str) -> DataFrame:
+    """Normal forms, stored once: plans that hold their expressions many times over don't fit a small driver."""
+    return stored(rows.select(*kept, *[normal(f, F.col(f)).alias(f) for f in FIELDS]), "forms")
+
+
+def _linked(own: DataFrame, listings: DataFrame) -> DataFrame:
+    """linked() of tables in normal forms. Both fields of a link are told by the first sign of `same`."""
+    pairs = list(permutations(FIELDS, 2))
+    sides = F.explode(F.array(*[F.struct(F.concat(F.lit(str(i)), F.col(same)).alias("same"), F.col(near).alias("text")) for i, (same, near) in enumerate(pairs)])).alias("s")
+    side = lambda df, k, name: df.select(F.col(k).alias(name), sides).select(name, "s.*")
+    return within_one_edit(side(own, "business", "a"), side(listings, "listing", "b")).select(F.col("a").alias("business"), F.col("b").alias("listing"))
+
+
 def linked(own: DataFrame, listings: DataFrame) -> DataFrame:
     """own(business, name, address, phone) and listings(listing, name, address, phone) -> (business, listing): pairs that
     are the same in one field's normal form, and the same or one edit apart in another's. A field that is null in
     either links nothing. Listings may be linked to several businesses, and to none."""
-    forms = [F.struct(*[normal(f, F.col(f)).alias(f) for f in FIELDS]).alias("form")]
-    a, b = own.select(F.col("business").alias("a"), *forms), listings.select(F.col("listing").alias("b"), *forms)
-    out = None
-    for same, near in permutations(FIELDS, 2):
-        side = lambda df, k: df.select(k, F.col(f"form.{same}").alias("same"), F.col(f"form.{near}").alias("text"))  # noqa: E731, B023
-        one = within_one_edit(side(a, "a"), side(b, "b"))
-        out = one if out is None else out.unionByName(one)
-    return out.distinct().select(F.col("a").alias("business"), F.col("b").alias("listing"))
-
-
-def _state(field: str, a: Column, b: Column) -> Column:
-    x, y = normal(field, a), normal(field, b)
+    return _linked(_forms(own, "business"), _forms(listings, "listing"))
+
+
+def _state(field: str) -> Column:
+    x, y = F.col(f"a_{field}"), F.col(f"b_{field}")
     near = (F.levenshtein(x, y, 1) >= 0) | (F.contains(x, y) | F.contains(y, x) if field != "phone" else F.lit(False))
     return F.when(x.isNull() | y.isNull(), "missing").when(x == y, "exact").when(near, "partial").otherwise("conflicting")
 
@@ -89,11 +93,12 @@ def compared(own: DataFrame, listings: DataFrame) -> DataFrame:
     States: exact (the same normal form), partial (one edit apart, or for names and addresses one within the other),
     missing (null or empty on either side), conflicting. business and listing must be unique.
     """
-    pairs = linked(own, listings)
-    left = own.select("business", *[F.col(f).alias(f"a_{f}") for f in FIELDS])
-    right = listings.select("listing", "platform", *[F.col(f).alias(f"b_{f}") for f in FIELDS])
+    one, two = _forms(own, "business"), _forms(listings, "listing", "platform")
+    pairs = stored(_linked(one, two), "links")
+    left = one.select("business", *[F.col(f).alias(f"a_{f}") for f in FIELDS])
+    right = two.select("listing", "platform", *[F.col(f).alias(f"b_{f}") for f in FIELDS])
     both = pairs.join(left, "business").join(right, "listing")
-    states = both.select("business", "listing", "platform", *[_state(f, F.col(f"a_{f}"), F.col(f"b_{f}")).alias(f) for f in FIELDS])
+    states = both.select("business", "listing", "platform", *[_state(f).alias(f) for f in FIELDS])
     issues = F.array_compact(F.array(*[F.when(F.col(f) == "conflicting", f"{s}: {f}") for f, s in SEVERITIES.items()]))
     return states.withColumn("issues", issues)
 

@@ -37,3 +37,16 @@ def test_compared_and_consistency_of_odd_rows(spark):
     out = {r.business: (r.listings, r.share, r.unclaimed) for r in listings.consistency(listings.compared(own, made), own, ["maps", "bing", "osm"]).collect()}
     assert out == {1: (3, 6 / 9, ["bing"]), 2: (0, None, ["maps", "bing", "osm"]), 3: (0, None, ["maps", "bing", "osm"])}
     assert listings.compared(own.limit(0), made).count() == 0 and listings.linked(own, made.limit(0)).count() == 0
+
+
+def test_links_without_and_with_keys_are_the_same_and_plans_are_small(spark):
+    """Plans of the links once held each normal form some hundred times, too many for a small driver."""
+    draw = random.Random(3)
+    text = lambda: "".join(draw.choice("ab\U0001f600") for _ in range(draw.randrange(0, 6)))
+    a, b = ([(i, draw.choice("kj"), text()) for i in range(90)] for _ in range(2))
+    left, right = spark.createDataFrame(a, "a int, same string, text string"), spark.createDataFrame(b, "b int, same string, text string")
+    all_, keyed = ({tuple(r) for r in listings.within_one_edit(left, right, few).collect()} for few in (1000, 0))
+    assert all_ == keyed and len(all_) > 100
+    own = spark.createDataFrame([(1, "Acme", "1 North Road", "1")], "business int, name string, address string, phone string")
+    plan = listings.compared(own, own.selectExpr("business as listing", "name", "address", "phone", "'x' as platform"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") + plan.count("split(") == 0 and plan.count("Join") == 2
