@@ -224,7 +224,7 @@ def competitors_in_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda k, a, b: (((F.col(k) % a) * 0.01).alias("lat"), ((F.col(k) % b) * 0.01).alias("lng"))
     places = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place"), *at("s_suppkey", 83, 79))
     others = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("other"), *at("c_custkey", 97, 89))
-    return audits.within_radius(places, others, 3.0).groupBy("place").agg(F.count(F.lit(1)).alias("competitors"), F.min("km").alias("nearest"))
+    return audits.nearby(places, others, 3.0)
 
 
 @query("select page_id from pages where regexp_matches(url, '^[a-z]+://([^/?#:@]+\\.)?example\\.com([:/?#]|$)')")

@@ -380,3 +380,17 @@ def test_link_months_of_odd_links(spark):
         ("b", 7, 0, 0, 1, 0.0, False, False, False),
     ]
     assert series.link_months(links.limit(0), F.to_date(F.lit("2024-07-20"))).count() == 0
+
+
+def test_nearby_counts_copies_of_a_position(spark):
+    """Places and others of few positions: each pair of positions is measured once, however many stand there."""
+    from sightline.operators import audits
+
+    spots = ("cast(id % 5 as double) * 0.01 as lat", "cast(id % 3 as double) * 0.01 as lng")
+    places = spark.range(40).selectExpr("id as place", *spots).unionByName(spark.createDataFrame([(99, None, 1.0), (98, 70.0, 1.0)], "place long, lat double, lng double"))
+    others = spark.range(600).selectExpr("id as other", *spots).unionByName(spark.createDataFrame([(-1, None, None)], "other long, lat double, lng double"))
+    want = audits.within_radius(places, others, 1.2).groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("km").alias("km"))
+    got = audits.nearby(places, others, 1.2)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == 40
+    many = audits.nearby(spark.range(2_000_000).selectExpr("id as place", *spots), spark.range(2_000_000).selectExpr("id as other", *spots), 1.2)
+    assert many.agg(F.max("competitors")).first()[0] > 133_333  # some 10^12 pairs of rows
