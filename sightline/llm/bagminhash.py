@@ -23,7 +23,7 @@ BANDS, ROWS = 50, 7
 #: Sets of so many components of the same signature, for what is left after the first round: at similarity 0.8 a pair
 #: shares none in 1 of 10^4 cases, at 0.5 it shares one in 1 of 30 (of the bands, in 2 of 5).
 FINE, FINE_ROWS = 130, 12
-#: Texts of a bucket all pairs of which are measured, and texts drawn in larger buckets that one is measured against.
+#: Texts of a bucket from which on texts are drawn before its pairs are measured, and how many a text is measured against.
 FULL, DRAWN = 24, 8
 _U = np.uint64
 _STEP, _LEVEL = _U(0xD1B54A32D192ED03), _U(0x8CB92BA72F3D8DD7)
@@ -189,11 +189,11 @@ def links(docs: DataFrame, n: int = SHINGLE, least: float = SIMILARITY, bands: i
     """(members(doc_id, k), edges(a, b, similarity) between keys that connect all near-duplicates).
 
     Each text of a bucket is measured against the one of its buckets that meets most others; what is linked then needs
-    no more pairs. Texts of buckets that hold more than one class meet again by sets of more components, where all
-    pairs of different classes are measured in buckets of FULL texts at most. In larger buckets one text is drawn, and
-    each text of another class is measured against the DRAWN texts with which it shares most buckets. So thousands of
-    copies of one text cost a few rows for each of them. What can be missed is a link between two texts of a large
-    bucket that are like neither its best-met text nor any text drawn.
+    no more pairs. In buckets of more than FULL texts that hold more than one class one text is drawn, and each text of
+    another class is measured against the DRAWN texts with which it shares most buckets, which joins most of what is
+    left. Texts of buckets that hold more than one class even then meet again by sets of more components, where all
+    pairs of different classes are measured, however large a bucket is. So thousands of copies of one text cost a few
+    rows for each of them, and no link between different classes is left out but for those that share no set.
     """
     texts = keyed(docs)
 
@@ -212,9 +212,25 @@ def links(docs: DataFrame, n: int = SHINGLE, least: float = SIMILARITY, bands: i
     near_texts = stored(texts.select("k", "norm").join(small(near), "k", "left_semi").dropDuplicates(["k"]), "near-texts")
     tried = stored(stars(band), "stars")
     edges = stored(verified(tried, near_texts, n, least), "edges")
-    labels = components(edges)
-    rest_bands = band.join(labels, "k", "left").select("k", "band", "size", F.coalesce("root", "k").alias("root"))
-    rest_bands = stored(mixed(rest_bands), "rest")
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = ordered(tried)
+
+    def open_buckets():
+        rows = band.join(components(edges), "k", "left").select("k", "band", "size", F.coalesce("root", "k").alias("root"))
+        return stored(mixed(rows), "rest")
+
+    # large buckets: each text with the texts drawn in its buckets
+    rest_bands = open_buckets()
+    drawn = mixed(rest_bands.where(F.col("size") > FULL))
+    heads = drawn.groupBy("band").agg(F.min(F.struct(F.xxhash64("k", "band").alias("h"), "k", "root")).alias("head"))
+    met = drawn.join(heads, "band").where(F.col("root") != F.col("head.root")).groupBy("k", F.col("head.k").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("k").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "c")), False), 1, DRAWN).alias("best"))  # of `bands` at most
+    more = ordered(best.select(F.col("k").alias("a"), F.explode("best.c").alias("b"))).distinct()
+    more = stored(more.join(tried, ["a", "b"], "left_anti"), "drawn")
+    if more.limit(1).count():
+        edges = stored(edges.unionByName(verified(more, near_texts, n, least)), "edges2")
+        tried = tried.unionByName(more)
+        rest_bands = open_buckets()
     rest = rest_bands.select("k", "root").distinct()
 
     def refine(batches):
@@ -224,22 +240,14 @@ def links(docs: DataFrame, n: int = SHINGLE, least: float = SIMILARITY, bands: i
 
     again = signed.select("k", "weight", "sig").join(rest, "k").dropDuplicates(["k"])
     again = again.mapInPandas(released(refine), "k binary, weight long, root binary, bands array<long>").select("k", "weight", "root", F.explode("bands").alias("band"))
-    sizes = again.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").where(F.col("size") <= FULL)
-    again = stored(again.join(sizes.select("band"), "band"), "fine")
+    again = stored(mixed(again), "fine")
     left = again.select("band", F.col("k").alias("a"), F.col("weight").alias("wa"), F.col("root").alias("ra"))
     right = again.select("band", F.col("k").alias("b"), F.col("weight").alias("wb"), F.col("root").alias("rb"))
     close = (F.col("wa") >= least * F.col("wb")) & (F.col("wb") >= least * F.col("wa"))
     pairs = left.join(right, "band").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    # larger buckets: each text with the texts drawn in its buckets
-    drawn = mixed(rest_bands.where(F.col("size") > FULL))
-    heads = drawn.groupBy("band").agg(F.min(F.struct(F.xxhash64("k", "band").alias("h"), "k", "root")).alias("head"))
-    met = drawn.join(heads, "band").where(F.col("root") != F.col("head.root")).groupBy("k", F.col("head.k").alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("k").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "c")), False), 1, DRAWN).alias("best"))  # of `bands` at most
-    more = best.select("k", F.explode("best.c").alias("c")).select(F.least("k", "c").alias("a"), F.greatest("k", "c").alias("b"))
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(pairs.unionByName(more).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+    pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     if pairs.limit(1).count():
-        edges = stored(edges.unionByName(verified(pairs, near_texts, n, least)), "edges2")
+        edges = stored(edges.unionByName(verified(pairs, near_texts, n, least)), "edges3")
     return members, edges
 
 

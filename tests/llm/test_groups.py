@@ -219,3 +219,13 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_links_of_large_buckets_are_all_measured(spark, monkeypatch):
+    """Pairs within a template that all texts share, in buckets over the bound and with no text drawn."""
+    monkeypatch.setattr(bagminhash, "FULL", 1)
+    monkeypatch.setattr(bagminhash, "DRAWN", 0)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(2 * i + e, f"{common} {' '.join(f'p{i}x{j}' for j in range(25))} e{i}y{e}") for i in range(30) for e in (0, 1)]
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(60)}
