@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import text as tx
 from sightline.sources.shared import stored
 
+#: Pairs that one task of overlap() makes.
+PAIRS = 2_000_000
+
 
 def money(x: Column) -> Column:
     """Five decimals, and no negative zero."""
@@ -54,11 +59,16 @@ def price_stats(prices: DataFrame, keys: list[str], price: str) -> DataFrame:
 def overlap(serp: DataFrame, key: str, item: str, least: int = 1) -> DataFrame:
     """serp(key, item) -> (a, b, shared), a < b, for keys that share items.
 
-    An item that so many keys have that its pairs would grow with their square belongs to ubiquitous(), first.
+    An item that so many keys have that its pairs would grow with their square belongs to without_ubiquitous(), first.
+    Pairs are counted before they are made and dealt out in parts of some PAIRS, so that a task holds no more at any size.
     """
-    rows = serp.select(F.col(key).alias("k"), F.col(item).alias("i")).distinct()
-    pairs = rows.select(F.col("k").alias("a"), "i").join(rows.select(F.col("k").alias("b"), "i"), "i").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    rows = stored(serp.select(F.col(key).alias("k"), F.col(item).alias("i")).distinct(), "serp")
+    c = F.col("c")
+    made = rows.groupBy("i").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(c * (c - 1) / 2).alias("n")).first()["n"] or 0
+    parts = max(1, math.ceil(made / PAIRS))
+    dealt = rows.where("i is not null and k is not null").repartition(parts, "i")
+    pairs = dealt.select(F.col("k").alias("a"), "i").join(dealt.select(F.col("k").alias("b"), "i"), "i").where("a < b")
+    return pairs.select("a", "b").repartition(parts, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
 def overlap_band(shared: Column) -> Column:

@@ -394,3 +394,13 @@ def test_nearby_counts_copies_of_a_position(spark):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == 40
     many = audits.nearby(spark.range(2_000_000).selectExpr("id as place", *spots), spark.range(2_000_000).selectExpr("id as other", *spots), 1.2)
     assert many.agg(F.max("competitors")).first()[0] > 133_333  # some 10^12 pairs of rows
+
+
+def test_overlap_deals_its_pairs_out(spark, monkeypatch):
+    """As many tasks as the pairs need, whatever spark.sql.shuffle.partitions says; null keys and items meet nothing."""
+    monkeypatch.setattr(markets, "PAIRS", 100)
+    rows = [(k, i) for i in range(40) for k in range(8) if (i + k) % 3] + [(None, 1), (1, None), (2, None), (0, 1), (0, 1)]
+    got = markets.overlap(spark.createDataFrame(rows, "k int, i int"), "k", "i")
+    have = {k: {i for x, i in rows if x == k and i is not None} for k in range(8)}
+    assert {tuple(r) for r in got.collect()} == {(a, b, len(have[a] & have[b])) for a in range(8) for b in range(a + 1, 8) if have[a] & have[b]}
+    assert got.rdd.getNumPartitions() > 4
