@@ -94,6 +94,30 @@ def test_passages_go_on_after_inserted_words(spark):
     assert got == {(2 * k + 1, 0, 90 + k % 3 - k // 3, 0) for k in range(6)}
 
 
+def test_halves_in_smaller_documents_hide_no_changed_passage(spark):
+    rows, want = [], set()
+    for k in range(4):
+        p, own = [f"p{k}x{i}" for i in range(60)], lambda d: [f"o{k}d{d}x{i}" for i in range(60)]  # noqa: B023
+        halves = [(100 * k + d, own(d) + (p[:29] if d % 2 else p[30:]) + own(d + 100)) for d in range(40)]
+        rows += [(i, " ".join(w)) for i, w in halves]
+        rows += [(100 * k + 50, " ".join(own(50) + p)), (100 * k + 51, " ".join([*p[:29], "changed", *p[30:], *own(51)]))]
+        want.add((100 * k + 51, 0, 60, 100 * k + 50, 60))
+    got = compact_windows.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.other_id, r.other_start) for r in got} == want
+
+
+def test_the_least_run_by_brute_force():
+    for least in (0.5, 0.8, 0.9, 1.0):
+        best = 10**9
+        for runs in range(1, 40):
+            for size in range(1, 60):  # all runs of one size, one changed word between two of them
+                k, u = runs * size, 9 * (runs - 1)
+                if k >= least * (k + u) - 1e-9 and k >= least * 46 - 1e-9:
+                    best = min(best, size + 4)
+        assert compact_windows.least_run(5, 50, least) <= best
+    assert compact_windows.least_run(5, 50, 0.8) == 23 and compact_windows.least_run(5, 50, 1.0) == 50
+
+
 def test_stretches_are_the_longest_by_brute_force():
     import random
 
