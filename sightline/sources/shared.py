@@ -28,6 +28,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of whole pages at most: a task holds one in Python.
+PAGES = 1_000
+
+
+def bound_pages(spark: SparkSession) -> None:
+    """Lowers the session's bound of rows in an Arrow batch to PAGES; it leaves a smaller one."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > PAGES:
+        spark.conf.set(key, str(PAGES))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores: a table of few bytes is read by a task or two, however much work its rows make."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """Text files of URLs, one a line -> (url); blank lines and those that begin with # are left out."""
     return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> '' and not startswith(url, '#')")

@@ -404,3 +404,15 @@ def test_overlap_deals_its_pairs_out(spark, monkeypatch):
     have = {k: {i for x, i in rows if x == k and i is not None} for k in range(8)}
     assert {tuple(r) for r in got.collect()} == {(a, b, len(have[a] & have[b])) for a in range(8) for b in range(a + 1, 8) if have[a] & have[b]}
     assert got.rdd.getNumPartitions() > 4
+
+
+def test_markup_walks_hold_few_rows_in_python(spark):
+    from sightline.operators import markup
+
+    made = list(markup._tables(((str(i), i) for i in range(2 * markup.HELD + 1)), ["url", "pos"]))
+    assert [len(t) for t in made] == [markup.HELD, markup.HELD, 1] and made[2]["pos"].tolist() == [2 * markup.HELD]
+    assert list(markup._tables([], ["url"])) == []
+    pages = spark.range(50).selectExpr("cast(id as string) as url", f"concat('<h1>t</h1>', repeat('<img src=a>', {markup.HELD})) as html")
+    got = markup.elements(pages).groupBy("kind").count().collect()
+    assert {(r.kind, r["count"]) for r in got} == {("heading", 50), ("image", 50 * markup.HELD)}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000
