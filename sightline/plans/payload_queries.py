@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.operators import jsonld
 from sightline.registry import query, table
 from sightline.sources import envelopes
+from sightline.sources.shared import spread
 
 # an item of a vendor for each part; both engines read these expressions. The second item has other keys
 _K = "cast(p_partkey as string)"
@@ -33,7 +34,8 @@ def _module_sql(module: str) -> str:
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.expr(_PAYLOAD).alias("payload"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    return parts.select("p_partkey", F.expr(_PAYLOAD).alias("payload"))
 
 
 def _module(module: str):

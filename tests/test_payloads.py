@@ -96,3 +96,9 @@ def test_generated_without_what_rows_lack(spark):
     assert jsonld.generated(rows.limit(0), "profile").count() == 0
     table = spark.sql("select 'Hotel' as reservation_kind, 'P' as provider")
     assert json.loads(jsonld.generated(table, "reservation").first().json)["reservationFor"] == {"@type": "Place", "name": "P"}
+
+
+def test_parts_are_dealt_to_all_cores(spark, sf):
+    from sightline.plans import payload_queries
+
+    assert payload_queries._payloads(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
