@@ -6,6 +6,7 @@ dialect means by \\w and \\b, so that every engine that knows Unicode classes gi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -16,8 +17,8 @@ NON_WORD = r"[^\p{L}\p{N}_]+"
 #: Tokens of the content-quality scores (fixed).
 TOKEN = r"[A-Za-z][A-Za-z'\-]*"
 #: Names of two or more capitalised words, and numbers with an optional fraction and ordinal (fixed).
-ENTITY = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
-NUMBER = r"\b\d+(?:[.,]\d+)?(?:%|st|nd|rd|th)?\b"
+ENTITY = r"(?=[A-Z])\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+NUMBER = r"(?=\d)\b\d+(?:[.,]\d+)?(?:%|st|nd|rd|th)?\b"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,7 +38,7 @@ def word_count(text: Column) -> Column:
 
 def spaced_words(text: Column) -> Column:
     """Words between white space."""
-    return F.filter(F.split(text_or_empty(text), r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(text_or_empty(text), r"\s+"), "")
 
 
 def tokens(text: Column) -> Column:
@@ -50,10 +51,24 @@ def matches(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text_or_empty(text), F.lit(pattern), F.lit(0)))
 
 
+def any_phrase(phrases: list[str] | tuple[str, ...]) -> str:
+    """A pattern of the texts that have one of the phrases, in one pass: it begins at the first space, comma or hyphen of each and
+    the letter that follows, and then looks back. Phrases without these stand at their first letters."""
+    starts: dict[str, dict[str, list[str]]] = {}
+    for p in phrases:
+        found = re.search("[ ,-]", p)
+        at = found.start() if found else 0
+        rest = re.escape(p[at + 2 :]) + (f"(?<={re.escape(p)})" if at else "")
+        starts.setdefault(re.escape(p[at]), {}).setdefault(re.escape(p[at + 1 : at + 2]), []).append(rest)
+    several = lambda parts: "(?:" + "|".join(parts) + ")"
+    return f"(?=[{''.join(sorted(starts))}])" + several(c + several(x + several(rests) for x, rests in sorted(then.items())) for c, then in sorted(starts.items()))
+
+
 def phrases_in(text: Column, phrases: list[str] | tuple[str, ...]) -> Column:
     """The phrases that stand anywhere in the lower-cased text, each once, in the order given."""
-    low = F.lower(text_or_empty(text))
-    return let(low, lambda t: F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(t, p)))
+    low, every = F.lower(text_or_empty(text)), F.array(*[F.lit(p) for p in phrases])
+    found = lambda t: F.filter(every, lambda p: F.contains(t, p))
+    return let(low, lambda t: F.when(t.rlike(any_phrase(phrases)), found(t)).otherwise(F.slice(every, 1, 0)))
 
 
 def bigram_repetition(words: Column) -> Column:
@@ -66,7 +81,7 @@ def bigram_repetition(words: Column) -> Column:
     def pairs(w: Column) -> Column:
         rest = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
         both = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), rest, lambda a, b: F.concat_ws(" ", a, b))
-        return F.when(F.size(w) < 4, F.lit(0.0)).otherwise(let(F.array_sort(both), share))
+        return F.when(F.size(w) < 4, F.lit(0.0)).otherwise(let(F.sort_array(both), share))
 
     return let(words, pairs)
 

@@ -62,12 +62,11 @@ m as (select *, len(ws) as n, len(ss) as s, len(list_filter(ss, lambda x: len(li
 @query(_CITABLE + """select doc_id, n as word_count, s as sentences, clear, pronouns, proper, least(25, case when n between 134 and 167 then 10 when n between 100 and 200 then 7 when n between 80 and 250 then 4 when n not between 30 and 400 then 0 else 2 end
  + case when n = 0 then 0 when pronouns / n < 0.02 then 8 when pronouns / n < 0.04 then 5 when pronouns / n < 0.06 then 3 else 0 end + case when proper >= 3 then 7 when proper >= 1 then 4 else 0 end) as self_contained from m""")
 def passage_self_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     t = tx.text_or_empty(F.col("text"))
-    sentences = F.filter(F.split(t, "[.!?]"), lambda x: x.rlike(r"\S"))
-    clear = F.size(F.filter(sentences, lambda x: F.size(tx.spaced_words(x)).between(5, 25)))
-    out = content.citability(docs).select("doc_id", "text", "word_count", "self_contained")
-    return out.select("doc_id", "word_count", F.size(sentences).alias("sentences"), clear.alias("clear"), tx.matches(t, content.PRONOUN).alias("pronouns"), tx.matches(t, content.PROPER).alias("proper"), "self_contained")
+    parts = F.struct(F.size(tx.spaced_words(t)).cast("long").alias("word_count"), content.sentence_counts(t).alias("s"), tx.matches(t, content.PRONOUN).alias("pronouns"), tx.matches(t, content.PROPER).alias("proper"))
+    out = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(parts)))
+    contained = content.containment(F.col("word_count"), F.col("pronouns"), F.col("proper")).cast("long")
+    return out.select("doc_id", "word_count", F.col("s.n").alias("sentences"), F.col("s.clear").alias("clear"), "pronouns", "proper", contained.alias("self_contained"))
 
 
 @query()
