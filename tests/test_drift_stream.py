@@ -99,5 +99,23 @@ def test_state_with_a_time_to_live(spark, tmp_path):
     assert [(r.id, r.snapshot_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 2)]
 
 
+def test_a_batch_that_a_stop_cut_off_comes_before_what_is_new(spark, tmp_path):
+    """The last batch of the first run, which had no rows, has no commit: it runs again before the second file's."""
+    stream = windows.table_stream(spark, str(tmp_path / "in"), drift.SNAPSHOT, recursiveFileLookup=True)
+    commits = tmp_path / "state" / "commits"
+    for number in (1, 2):
+        put(_snapshot(spark, [(number, "https://a.example/", 0, str(number))]), tmp_path / "in", f"part-{number}")
+        if number == 2:
+            done = [int(f.name) for f in commits.iterdir() if f.name.isdigit()]
+            assert max(done) > 0
+            for f in (commits / str(max(done)), commits / f".{max(done)}.crc"):
+                f.unlink(missing_ok=True)
+            for later in (tmp_path / "state" / "offsets").iterdir():
+                if later.name.strip(".").removesuffix(".crc").isdigit() and int(later.name.strip(".").removesuffix(".crc")) > max(done):
+                    later.unlink()
+        drift.run(drift.pairs(stream, ttl_ms=3_600_000), str(tmp_path / "out"), str(tmp_path / "state"), clock=True)
+    assert [(r.id, r.snapshot_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 2)]
+
+
 def test_replayed_of_nothing(spark, events):
     assert batch.replayed(snapshots(events.limit(0))).count() == 0
