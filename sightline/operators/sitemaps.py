@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions import text as tx
 from sightline.functions import urls as ux
 from sightline.sources.shared import stored
 
@@ -46,20 +47,26 @@ def _root(text: Column) -> Column:
 
 def kind(text: Column, content_type: Column, url: Column) -> Column:
     """(kind, error) of a file, one of them null: an XML root that is known, or lines of http URLs where the file says it is text."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+", "")
-    root = _root(body)
-    lines = F.filter(F.transform(F.split(body, _LINES), _trimmed), lambda x: x != "")
     is_text = F.coalesce(F.lower(content_type).contains("text/plain"), F.lit(False)) | F.lower(url).endswith(".txt")
-    all_urls = F.forall(lines, lambda x: x.rlike(r"(?i)^https?://[^/?#@\s]+(?:[/?#].*)?$"))
-    error = (
-        F.when(body == "", "empty response")
-        .when(F.upper(F.substring(body, 1, 4096)).contains("<!DOCTYPE"), "DOCTYPE is not allowed in sitemap XML")
-        .when(body.startswith("<"), F.when(root == "", "invalid XML").when(~root.isin(*ROOTS), "unsupported XML root"))
-        .when(~is_text, "response is not a supported sitemap format")
-        .when(F.size(lines) > MAX_LINES, "text sitemap exceeds the 50,000 URL protocol limit")
-        .when(~all_urls, "invalid text sitemap")
-    )
-    return F.struct(F.when(error.isNull(), F.when(body.startswith("<"), root).otherwise("text")).alias("kind"), error.alias("error"))
+
+    def of_text(body: Column) -> Column:
+        lines = F.filter(F.transform(F.split(body, _LINES), _trimmed), lambda x: x != "")
+        all_urls = lambda x: F.forall(x, lambda y: y.rlike(r"(?i)^https?://[^/?#@\s]+(?:[/?#].*)?$"))
+        return (
+            F.when(~is_text, "response is not a supported sitemap format")
+            .otherwise(tx.let(lines, lambda x: F.when(F.size(x) > MAX_LINES, "text sitemap exceeds the 50,000 URL protocol limit").when(~all_urls(x), "invalid text sitemap")))
+        )
+
+    def judged(body: Column) -> Column:
+        is_xml, names = body.startswith("<"), F.lit(None).cast("string")
+        early = F.when(body == "", "empty response").when(F.upper(F.substring(body, 1, 4096)).contains("<!DOCTYPE"), "DOCTYPE is not allowed in sitemap XML")
+        of_root = lambda r: F.struct(F.when(r.isin(*ROOTS), r).alias("kind"), F.when(r == "", "invalid XML").when(~r.isin(*ROOTS), "unsupported XML root").alias("error"))
+        of_lines = lambda e: F.struct(F.when(e.isNull(), F.lit("text")).alias("kind"), e.alias("error"))
+        late = F.when(is_xml, tx.let(_root(body), of_root)).otherwise(tx.let(of_text(body), of_lines))
+        return tx.let(early, lambda e: F.when(e.isNotNull(), F.struct(names.alias("kind"), e.alias("error"))).otherwise(late))
+
+    # what is used more than once is bound to a variable: as an expression it would be worked out again each time
+    return tx.let(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+", ""), judged)
 
 
 def _shown(url: Column) -> Column:
@@ -104,17 +111,18 @@ def unescaped(text: Column) -> Column:
     """Text of XML with its five entities and numbers read; null if it holds any other reference."""
     known = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});)"
     pieces = F.split(text, "&#")
+    # most texts have no reference, and most others no number
     rest = F.transform(F.slice(pieces, 2, 1 << 30), lambda x: F.concat(_character(F.substring_index(x, ";", 1)), F.substring(x, F.instr(x, ";") + 1, F.length(x))))
-    out = F.when(F.size(pieces) == 1, text).otherwise(F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, "")))
+    out = F.when(~F.contains(text, F.lit("&#")), text).otherwise(F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, "")))
     for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(c))
-    return F.when(~text.rlike(known), out)
+    return F.when(~F.contains(text, F.lit("&")), text).when(~text.rlike(known), out)
 
 
 def locations(text: Column) -> Column:
     """Addresses in the loc elements of a file in their order, of any prefix; empty ones and CDATA don't count."""
     found = F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), _COMMENT, ""), F.lit(_LOC), F.lit(1))
-    return F.filter(F.transform(found, lambda x: unescaped(_trimmed(x))), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(F.transform(found, _trimmed), unescaped), lambda x: x.isNotNull() & (x != ""))
 
 
 def _first(rows: DataFrame, most: int) -> DataFrame:

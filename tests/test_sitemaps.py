@@ -120,3 +120,9 @@ def test_candidates(spark):
     m = [r for r in rows if r.site == "https://m.example"]
     assert len(m) == 20 and {r.n_declared for r in m} == {20} and m[15].error == "HTTP ?" and m[16].source == "common_path"
     assert len([r for r in rows if r.site == "https://n.example"]) == 4
+
+
+def test_a_files_root_is_worked_out_once(spark):
+    files = spark.createDataFrame([], "text string, content_type string, url string")
+    plan = files.select(sitemaps.kind(F.col("text"), F.col("content_type"), F.col("url")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") == 1
