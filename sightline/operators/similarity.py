@@ -46,49 +46,61 @@ def representatives(sets: DataFrame) -> DataFrame:
     return keyed.join(first, ["k", "n"]).select("page_id", "class_id")
 
 
-def _ordered(rows: DataFrame) -> DataFrame:
-    """rows(id, token) -> (id, n, tokens): each set with its rarest tokens first, ties by the token.
+def ordered_sets(sets: DataFrame) -> DataFrame:
+    """sets(id unique, tokens distinct) -> (id, n, tokens): how many tokens the set has, and those that stand in another
+    set too, rarest first, ties by the token. Sets that share no token are left out.
 
-    Frequencies come back to the rows by token. Frequent tokens, whose number is bounded, are broadcast, so that no
-    token's rows are more than a hundred-thousandth of all in the join that shuffles the rest.
+    A token of one set alone can't be shared, so that its number is enough. Frequencies come back to the rows by token.
+    Frequent tokens, whose number is bounded, are broadcast, so that no token's rows are more than a hundred-thousandth
+    of all in the join that shuffles the rest.
     """
-    counts = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token-counts")
+    rows = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "token-counts")
     least = max(counts.agg(F.sum("df")).first()[0] or 0, 1) / FREQUENT
     frequent = F.broadcast(counts.where(F.col("df") > least).withColumnRenamed("df", "often"))
     marked = rows.join(frequent, "token", "left")
-    rare = marked.where("often is null").join(counts.where(F.col("df") <= least), "token").select("id", "df", "token")
-    every = rare.unionByName(marked.where("often is not null").select("id", F.col("often").alias("df"), "token"))
+    rare = marked.where("often is null").join(counts.where(F.col("df") <= least), "token").select("id", "n", "df", "token")
+    every = rare.unionByName(marked.where("often is not null").select("id", "n", F.col("often").alias("df"), "token"))
     # one set's own tokens
-    return every.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens")).withColumn("n", F.size("tokens"))
+    return every.groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
 
 
-def near_pairs(sets: DataFrame, least: float = COPY, strict: bool = True) -> DataFrame:
-    """sets(id unique, tokens distinct) -> (a, b, shared, similarity), a < b: all pairs with a Jaccard similarity over
-    `least` (from `least` on if not strict).
+def prefix_pairs(ordered: DataFrame, least: float) -> DataFrame:
+    """ordered_sets(), with a column `kin` or without -> (a, b), a < b: all pairs that may have a Jaccard similarity of
+    `least` or more; none of the same kin.
 
     Two such sets share a token among the first n - ceil(least * n) + 1 of each when both are ordered alike. The order
-    puts rare tokens first, so common ones are hardly ever in a prefix. A pair meets once, at the first token that both
-    prefixes share; lengths and the place of that token must leave room for enough shared ones. A token in very many
-    prefixes is cut by salts. Sets without tokens have no partner.
+    puts rare tokens first, so common ones are hardly ever in a prefix, and tokens of one set alone take its first
+    places. Lengths and the place of a shared token must leave room for enough shared ones. A token in very many prefixes
+    is cut by salts.
     """
-    ordered = stored(_ordered(sets.select("id", F.explode("tokens").alias("token"))), "ordered-sets")
+    alone = F.col("n") - F.size("tokens")
     size = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1
-    prefix = ordered.select("id", "n", F.slice("tokens", 1, size).alias("prefix"))
-    rows = prefix.select("id", "n", "prefix", F.posexplode("prefix").alias("at", "token"))
+    kept = ["id", "n", *(c for c in ordered.columns if c == "kin")]
+    rows = ordered.select(*kept, alone.alias("alone"), F.posexplode(F.slice("tokens", 1, F.greatest(size - alone, F.lit(0)))).alias("at", "token"))
+    rows = rows.select("token", *kept, (F.col("alone") + F.col("at")).alias("at"))
     met = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").withColumn("salts", F.ceil(F.col("sets") / MEET).cast("int")), "prefix-tokens")
     rows = rows.join(met.select("token", "salts"), "token")
-    side = lambda p, salt: rows.select("token", salt.alias("salt"), *[F.col(c).alias(f"{c}_{p}") for c in ("id", "n", "prefix", "at")])
+    side = lambda p, salt: rows.select("token", salt.alias("salt"), *[F.col(c).alias(f"{c}_{p}") for c in [*kept, "at"]])
     left = side("a", F.pmod(F.xxhash64("id"), F.col("salts")))
     right = side("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)))
     # of both, how many tokens must be shared, and how many can be from this one on
     need = F.ceil(F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    room = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    first = ~F.arrays_overlap(F.slice("prefix_a", 1, F.col("at_a")), F.slice("prefix_b", 1, F.col("at_b")))
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     long_enough = (F.col("n_a") >= least * F.col("n_b") - 1e-9) & (F.col("n_b") >= least * F.col("n_a") - 1e-9)
-    found = left.join(right, ["token", "salt"]).where((F.col("id_a") < F.col("id_b")) & long_enough & (room >= need) & first).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    whole = lambda p: ordered.select(F.col("id").alias(p), F.col("tokens").alias(f"t_{p}"))
+    strangers = F.col("kin_a") != F.col("kin_b") if "kin" in kept else F.lit(True)
+    found = left.join(right, ["token", "salt"]).where((F.col("id_a") < F.col("id_b")) & strangers & long_enough & (room >= need))
+    return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def near_pairs(sets: DataFrame, least: float = COPY, strict: bool = True) -> DataFrame:
+    """sets(id unique, tokens distinct) -> (a, b, shared, similarity), a < b: all pairs with a Jaccard similarity over
+    `least` (from `least` on if not strict). Sets without tokens have no partner.
+    """
+    ordered = stored(ordered_sets(sets), "ordered-sets")
+    whole = lambda p: ordered.select(F.col("id").alias(p), F.col("n").alias(f"n_{p}"), F.col("tokens").alias(f"t_{p}"))
     shared = F.size(F.array_intersect("t_a", "t_b"))
-    scored = found.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", shared.alias("shared"), (shared / (F.size("t_a") + F.size("t_b") - shared)).alias("similarity"))
+    scored = prefix_pairs(ordered, least).join(whole("a"), "a").join(whole("b"), "b").select("a", "b", shared.alias("shared"), (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("similarity"))
     return scored.where(F.col("similarity") > least if strict else F.col("similarity") >= least)
 
 

@@ -39,6 +39,17 @@ def test_near_pairs_is_brute_force(spark, monkeypatch, least, meet):
     assert len(got) == len(set(got)) and set(got) == by_force(sets, least, least < 1) and got
 
 
+def test_tokens_of_one_set_alone_are_a_number(spark):
+    """They take the first places of a prefix without being sent; rows of the join hold no arrays, and kin don't meet."""
+    sets = [(1, [*range(10), 100]), (2, [*range(10), 200]), (3, [*range(10), 300, 301, 302, 303]), (4, [400, 401])]
+    ordered = similarity.ordered_sets(spark.createDataFrame(sets, "id long, tokens array<bigint>"))
+    assert {(r.id, r.n, tuple(r.tokens)) for r in ordered.collect()} == {(i, len(t), tuple(range(10))) for i, t in sets[:3]}
+    pairs = similarity.prefix_pairs(ordered, 0.8)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2)}  # 10 of 12; 10 of 15 have no place left
+    assert "prefix" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert similarity.prefix_pairs(ordered.withColumn("kin", F.lit("x")), 0.8).count() == 0
+
+
 def test_copies_and_unique_content(spark):
     rows = [(1, 4, [1, 2, 3, 4]), (2, 400, [4, 3, 2, 1]), (3, 4, []), (4, 0, []), (5, 9, [1, 2, 3, 4, 5, 6]), (6, 9, [1, 2, 3, 4, 5]), (7, 9, [50, 60])]
     sets = spark.createDataFrame(rows, "page_id long, words int, tokens array<bigint>")
