@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 from sightline.llm import wordhash
 from sightline.llm.common import SHINGLE, SIMILARITY, fresh, released, small, stored, words_text
 from sightline.llm.wordhash import mix
+from sightline.operators import similarity
 
 #: Bands of so many components: at similarity 0.8 a pair shares no band in 1 of 10^5 cases.
 BANDS, ROWS = 50, 7
-#: Sets of so many components of the same signature, for what is left after the first round: at similarity 0.8 a pair
-#: shares none in 1 of 10^4 cases, at 0.5 it shares one in 1 of 30 (of the bands, in 2 of 5).
-FINE, FINE_ROWS = 130, 12
 #: Texts of a bucket from which on texts are drawn before its pairs are measured, and how many a text is measured against.
 FULL, DRAWN = 24, 8
 _U = np.uint64
@@ -74,10 +72,9 @@ def signatures(text: np.ndarray, h: np.ndarray, count: np.ndarray, texts: int, m
     return who.reshape(texts, m)
 
 
-def band_keys(texts: list, n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the bands of each text, its number of shingles, and 16 bits of each component of its signature."""
+def band_keys(texts: list, n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands of each text, and its number of shingles."""
     keys, weights = np.zeros((len(texts), bands), np.uint64), np.zeros(len(texts), np.int64)
-    short = np.zeros((len(texts), bands * rows), "<u2")
     for first, w in wordhash.chunks(texts):
         text, h, count = bags(w, n)
         size = len(w.count)
@@ -86,20 +83,20 @@ def band_keys(texts: list, n: int, bands: int, rows: int) -> tuple[np.ndarray, n
         for r in range(rows):
             out = mix(out * _STEP + sig[:, :, r])
         keys[first : first + size] = out
-        short[first : first + size] = sig.reshape(size, -1) & _U(0xFFFF)
         weights[first : first + size] = np.bincount(text, count, size)
-    return keys, weights, short
-
-
-def fine_keys(short: np.ndarray, sets: int, rows: int) -> np.ndarray:
-    """Keys of `sets` fixed random sets of `rows` components each, for each signature."""
-    pick = np.random.Generator(np.random.PCG64(11))
-    out = np.empty((len(short), sets), np.uint64)
-    for j in range(sets):
-        key = np.full(len(short), (j + 1) * int(_LEVEL) % 2**64, np.uint64)
-        for c in pick.choice(short.shape[1], min(rows, short.shape[1]), replace=False):
-            key = mix(key * _STEP + short[:, c])
-        out[:, j] = key
+    return keys, weights
+
+
+def bag_members(texts: list, n: int) -> list[np.ndarray]:
+    """A hash for each member of each text's multiset of shingles: the k-th of equal ones has one of its own for each k,
+    so that two of these sets overlap as the multisets do."""
+    out = []
+    for _, w in wordhash.chunks(texts):
+        text, h, count = bags(w, n)
+        one = np.repeat(np.arange(len(h)), count)
+        nth = (np.arange(len(one)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+        sizes = np.bincount(text, count, len(w.count)).astype(np.int64)
+        out += np.split(mix(h[one] + nth * _STEP).view(np.int64), np.cumsum(sizes)[:-1])
     return out
 
 
@@ -191,18 +188,19 @@ def links(docs: DataFrame, n: int = SHINGLE, least: float = SIMILARITY, bands: i
     Each text of a bucket is measured against the one of its buckets that meets most others; what is linked then needs
     no more pairs. In buckets of more than FULL texts that hold more than one class one text is drawn, and each text of
     another class is measured against the DRAWN texts with which it shares most buckets, which joins most of what is
-    left. Texts of buckets that hold more than one class even then meet again by sets of more components, where all
-    pairs of different classes are measured, however large a bucket is. So thousands of copies of one text cost a few
-    rows for each of them, and no link between different classes is left out but for those that share no set.
+    left. Texts of buckets that hold more than one class even then go through an exact join of their multisets, whatever
+    the size of a bucket: pairs of different classes meet by rare shingles, of which those without enough in common
+    mostly share none. So thousands of copies of one text cost a few rows for each of them, and no link between
+    different classes is left out but for those that share no band.
     """
     texts = keyed(docs)
 
     def sign(batches):
         for pdf in batches:
-            keys, weight, short = band_keys(list(pdf["norm"]), n, bands, rows)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": pdf["k"], "weight": weight, "bands": list(keys.view(np.int64)), "sig": [x.tobytes() for x in short]})
+            keys, weight = band_keys(list(pdf["norm"]), n, bands, rows)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": pdf["k"], "weight": weight, "bands": list(keys.view(np.int64))})
 
-    signed = stored(texts.mapInPandas(released(sign), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k binary, weight long, bands array<long>, sig binary"), "signed")
+    signed = stored(texts.mapInPandas(released(sign), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k binary, weight long, bands array<long>"), "signed")
     members = signed.select("doc_id", "k", "weight")
     unique = signed.where("weight > 0").groupBy("k").agg(F.first("bands").alias("bands"))
     band = unique.select("k", F.explode("bands").alias("band"))
@@ -231,20 +229,15 @@ def links(docs: DataFrame, n: int = SHINGLE, least: float = SIMILARITY, bands: i
         edges = stored(edges.unionByName(verified(more, near_texts, n, least)), "edges2")
         tried = tried.unionByName(more)
         rest_bands = open_buckets()
-    rest = rest_bands.select("k", "root").distinct()
+    rest = stored(rest_bands.select("k", F.col("root").alias("kin")).distinct(), "rest-classes")
 
-    def refine(batches):
+    def members_of(batches):
         for pdf in batches:
-            short = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), bands * rows)
-            yield pd.DataFrame({"k": pdf["k"], "weight": pdf["weight"], "root": pdf["root"], "bands": list(fine_keys(short, FINE, FINE_ROWS).view(np.int64))})
-
-    again = signed.select("k", "weight", "sig").join(rest, "k").dropDuplicates(["k"])
-    again = again.mapInPandas(released(refine), "k binary, weight long, root binary, bands array<long>").select("k", "weight", "root", F.explode("bands").alias("band"))
-    again = stored(mixed(again), "fine")
-    left = again.select("band", F.col("k").alias("a"), F.col("weight").alias("wa"), F.col("root").alias("ra"))
-    right = again.select("band", F.col("k").alias("b"), F.col("weight").alias("wb"), F.col("root").alias("rb"))
-    close = (F.col("wa") >= least * F.col("wb")) & (F.col("wb") >= least * F.col("wa"))
-    pairs = left.join(right, "band").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+            yield pd.DataFrame({"id": pdf["k"], "tokens": bag_members(list(pdf["norm"]), n)})
+
+    bags_ = near_texts.join(small(rest.select("k")), "k", "left_semi").mapInPandas(released(members_of), "id binary, tokens array<long>")
+    ordered_bags = similarity.ordered_sets(stored(bags_, "bags")).join(rest.withColumnRenamed("k", "id"), "id")
+    pairs = similarity.prefix_pairs(stored(ordered_bags, "ordered-bags"), least)
     pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     if pairs.limit(1).count():
         edges = stored(edges.unionByName(verified(pairs, near_texts, n, least)), "edges3")

@@ -253,3 +253,30 @@ def test_links_of_large_buckets_are_all_measured(spark, monkeypatch):
     rows = [(2 * i + e, f"{common} {' '.join(f'p{i}x{j}' for j in range(25))} e{i}y{e}") for i in range(30) for e in (0, 1)]
     got = {r.doc_id: r.class_id for r in bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i // 2 * 2 for i in range(60)}
+
+
+def test_unlike_texts_of_a_large_bucket_do_not_meet_in_pairs(spark, monkeypatch):
+    """Five words of a template changed in each text, four pairs with the same ones but for one: the others share buckets,
+    but hardly any of their pairs has to be measured."""
+    import random
+
+    draw, measured, before = random.Random(5), [], bagminhash.verified
+    rows, n = [], 160
+    for i in range(n):
+        w, twin = [f"w{k}" for k in range(200)], i - i % 2 if i < 8 else i
+        for j, k in enumerate(random.Random(twin).sample(range(5, 195, 5), 5)):
+            w[k] = f"c{i if j == 0 else twin}x{k}"
+        rows.append((i, " ".join(w)))
+
+    def counted(pairs, *rest):
+        measured.append(pairs.count())
+        return before(pairs, *rest)
+
+    monkeypatch.setattr(bagminhash, "verified", counted)
+    monkeypatch.setattr(bagminhash, "DRAWN", 0)
+    docs = spark.createDataFrame(draw.sample(rows, n), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(docs).collect()}
+    bags = [bag(t.split()) for _, t in rows]
+    assert {(b, a) for a in range(n) for b in range(a) if weighted(bags[a], bags[b]) >= 0.8} == {(0, 1), (2, 3), (4, 5), (6, 7)}
+    assert got == {i: i - i % 2 if i < 8 else i for i in range(n)}
+    assert sum(measured) < 2 * n
