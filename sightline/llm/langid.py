@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm import wordhash
-from sightline.llm.common import crc_mod, fresh, stored
+from sightline.llm.common import crc_mod, fresh, small, stored
 
 #: Letters make words; anything else parts them.
 NON_LETTER = r"[^\p{L}]+"
@@ -24,6 +24,8 @@ NON_LETTER = r"[^\p{L}]+"
 TABLE_BYTES = 16 << 20
 #: Longest n-gram for unseen words.
 LONGEST = 4
+#: Learnt n-grams that may be broadcast (some 100 bytes each); beyond that all n-grams of unseen words leave their tasks.
+GRAM_ROWS = 500_000
 #: Words of a text from which on more of them don't sharpen the score.
 FULL_WORDS = 20
 
@@ -95,12 +97,13 @@ def word_hash(words: pd.Series) -> pd.Series:
 def valued(vocabulary: DataFrame, model: Model) -> DataFrame:
     """vocabulary(g, n) as (h, n, logs): a word's log frequencies, or the mean of those of its longest known n-grams.
 
-    A word of which no n-gram is known has no row. n-grams are looked up for distinct words that weren't learnt alone.
+    A word of which no n-gram is known has no row. n-grams are looked up for distinct words that weren't learnt alone;
+    where the learnt ones are broadcast, a word's n-grams stay in the task that has the word.
     """
     k = len(model.langs)
     learnt = vocabulary.join(model.words, "g").select("g", "n", "logs")
     unseen = vocabulary.join(model.words, "g", "left_anti")
-    parts = unseen.select("g", "n", F.explode(ngrams(F.col("g"))).alias("x")).select("g", "n", "x.*").join(model.grams, "gram")
+    parts = unseen.select("g", "n", F.explode(ngrams(F.col("g"))).alias("x")).select("g", "n", "x.*").join(small(model.grams, GRAM_ROWS), "gram")
     means = parts.groupBy("g", "n", "size").agg(F.array(*[F.avg(F.col("logs")[j]).cast("float") for j in range(k)]).alias("logs"))
     longest = means.groupBy("g", "n").agg(F.max_by("logs", "size").alias("logs"))
     return stored(learnt.unionByName(longest).select(word_hash("g").alias("h"), "n", "logs"), "lang-values")

@@ -302,6 +302,23 @@ def test_language_scores_equal_brute_force_with_any_table(spark):
     assert langid.identified(rows.limit(0)).count() == 0
 
 
+def test_learnt_grams_are_broadcast_up_to_a_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([("the cat sat", "en"), ("le chat noir", "fr")], "text string, lang string")
+    seen = spark.createDataFrame([("catty", 1), ("chatte", 2), ("the", 1)], "g string, n long")
+    plans, keep, before = [], langid.stored, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(langid, "stored", lambda df, name: (plans.append((name, df._jdf.queryExecution().sparkPlan().toString())), keep(df, name))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model, got = langid.fit(docs), []
+        for rows in (langid.GRAM_ROWS, 0):
+            monkeypatch.setattr(langid, "GRAM_ROWS", rows)
+            got.append(sorted((r.h, r.n, r.logs) for r in langid.valued(seen, model).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got[0] == got[1] and len(got[0]) == 3
+    assert ["BroadcastHashJoin" in plan for name, plan in plans if name == "lang-values"] == [True, False]
+
+
 def test_toxicity_held_out(spark, sf):
     rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
