@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,55 @@ def test_the_least_run_by_brute_force():
     assert compact_windows.least_run(5, 50, 0.8) == 23 and compact_windows.least_run(5, 50, 1.0) == 50
 
 
+def test_a_line_that_nothing_goes_on_around_makes_no_pairs(spark):
+    line = [f"line{i}" for i in range(30)]
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(60)] + line + ["same"] * (30 + i % 9) + [f"b{i}x{k}" for k in range(60)])) for i in range(30)]
+    rows += [(100, " ".join(f"p{k}" for k in range(60))), (101, " ".join("changed" if k == 29 else f"p{k}" for k in range(60)))]
+    texts = spark.createDataFrame(rows, "doc_id long, norm string").withColumn("text_key", F.xxhash64("norm"))
+    pairs = compact_windows._changed_pairs(None, texts.where("doc_id < 30 and doc_id % 9 < 2 or doc_id >= 100"), 5, 50, 0.8).collect()
+    assert {(r.b, r.a) for r in pairs if r.b >= 100} == {(101, 100)}
+    texts = spark.createDataFrame([(i, t.replace("same", f"own{i}")) for i, t in rows], "doc_id long, norm string").withColumn("text_key", F.xxhash64("norm"))
+    assert {(r.b, r.a) for r in compact_windows._changed_pairs(None, texts, 5, 50, 0.8).collect()} == {(101, 100)}
+
+
+def test_copies_are_one_passage_and_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(compact_windows, "_verify", None)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text) for i in (7, 3, 5, 3)] + [(8, "too short a text"), (9, "too short a text"), (10, None), (11, None), (None, text)]
+    got = compact_windows.repeated(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_key").collect()
+    assert sorted(map(tuple, got)) == [(i, 0, 60, 3, 0, 1.0) for i in (5, 7)]
+
+
+def test_what_surrounds_the_least_run_by_drawn_passages():
+    import random
+
+    shared, reach, far = compact_windows.surroundings(5, 50, 0.8)
+    draw, seen = random.Random(3), set()
+    for _ in range(30_000):
+        k = [draw.choice((1, 5, 19, 25, 40, 120, 400, 900)) + draw.randint(0, 9) for _ in range(draw.randint(1, 5))]
+        gaps = [draw.choice((1, 9, 40, 90, 120)) + draw.randint(0, 9) for _ in k[1:]]  # words put into b: it loses 4 shingles more, the other text 4
+        if sum(k) < max(37, 4 * sum(g + 8 for g in gaps)) or sum(k) + sum(g + 4 for g in gaps) < 46:
+            continue
+        hit = np.concatenate([np.concatenate([np.ones(r, bool), np.zeros(g, bool)]) for r, g in zip(k, [g + 4 for g in gaps] + [0])])
+        begin = 0
+        for i, r in enumerate(k):
+            if r >= 19:
+                near = [hit[max(0, p - reach) : p + 19 + reach].sum() for p in range(begin, begin + r - 18)]
+                rest = sum(x + 4 for j, x in enumerate(k) if j != i and x >= 19)
+                assert min(near) >= shared or rest >= far
+                seen.add(min(near) >= shared)
+            begin += r + ((gaps + [0])[i] + 4)
+    assert seen == {True, False}
+
+
+def test_no_like_text_is_left_out_by_its_hits():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        hit = rng.random(rng.integers(0, 120)) < 0.75
+        want = any(hit[i:j].mean() >= 0.8 - 1e-9 for i in range(len(hit)) for j in range(i + 46, len(hit) + 1))
+        assert compact_windows.may_be_like(hit, 46, 0.8) == want
+
+
 def test_stretches_are_the_longest_by_brute_force():
     import random
 
