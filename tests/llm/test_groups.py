@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -124,10 +125,10 @@ def test_a_line_that_nothing_goes_on_around_makes_no_pairs(spark):
     rows = [(i, " ".join([f"a{i}x{k}" for k in range(60)] + line + ["same"] * (30 + i % 9) + [f"b{i}x{k}" for k in range(60)])) for i in range(30)]
     rows += [(100, " ".join(f"p{k}" for k in range(60))), (101, " ".join("changed" if k == 29 else f"p{k}" for k in range(60)))]
     texts = spark.createDataFrame(rows, "doc_id long, norm string").withColumn("text_key", F.xxhash64("norm"))
-    pairs = compact_windows._changed_pairs(None, texts.where("doc_id < 30 and doc_id % 9 < 2 or doc_id >= 100"), 5, 50, 0.8).collect()
+    pairs = compact_windows._changed_pairs(None, texts.where("doc_id < 30 and doc_id % 9 < 2 or doc_id >= 100"), 5, 50, 0.8)[0].collect()
     assert {(r.b, r.a) for r in pairs if r.b >= 100} == {(101, 100)}
     texts = spark.createDataFrame([(i, t.replace("same", f"own{i}")) for i, t in rows], "doc_id long, norm string").withColumn("text_key", F.xxhash64("norm"))
-    assert {(r.b, r.a) for r in compact_windows._changed_pairs(None, texts, 5, 50, 0.8).collect()} == {(101, 100)}
+    assert {(r.b, r.a) for r in compact_windows._changed_pairs(None, texts, 5, 50, 0.8)[0].collect()} == {(101, 100)}
 
 
 def test_copies_are_one_passage_and_are_not_compared(spark, monkeypatch):
@@ -138,6 +139,17 @@ def test_copies_are_one_passage_and_are_not_compared(spark, monkeypatch):
     assert sorted(map(tuple, got)) == [(i, 0, 60, 3, 0, 1.0) for i in (5, 7)]
 
 
+def test_tables_on_the_way_do_not_stay(spark, monkeypatch):
+    made, real = [], compact_windows.stored
+    monkeypatch.setattr(compact_windows, "stored", lambda df, name: made.append((name, real(df, name))) or made[-1][1])
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"own{i} {passage} " + " ".join(f"o{i}x{k}" for k in range(40))) for i in range(3)]
+    got = compact_windows.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.other_id) for r in got} == {(1, 1, 61, 0), (2, 1, 61, 0)}
+    there = lambda df: any(Path(f.removeprefix("file:")).exists() for f in df.inputFiles())
+    assert {name for name, df in made if there(df)} & {"windows", "open", "wide", "short", "runs", "around"} == set()
+
+
 def test_what_surrounds_the_least_run_by_drawn_passages():
     import random
 
